@@ -18,27 +18,37 @@ from pyspark.sql import functions as F
 
 # Rows a statistics table may have to be broadcast (checked by count()).
 BROADCAST_ROW_LIMIT = 2_000_000
+# Groups up to this many rows use Spark's exact ``percentile`` directly (its
+# value->count map is bounded by the group size); larger groups use the
+# bracket-and-refine path below.
+DIRECT_PERCENTILE_ROWS = 2_000_000
 # Relative rank error of the bracketing sketch; the exact pass ranks about
 # 6/ACCURACY of a group's rows, so a group of 3e11 rows ranks 1.8e7 rows.
 QUANTILE_ACCURACY = 100_000
 
 
 def attach(big: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "left",
-           row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join ``stats`` (one row per key) onto ``big``; broadcast only if small."""
+           row_limit: int = BROADCAST_ROW_LIMIT, bound: int | None = None) -> DataFrame:
+    """Join ``stats`` (one row per key) onto ``big``; broadcast only if small.
+
+    ``bound`` is a proven upper limit of the rows of ``stats`` (e.g. series x
+    features of a signal); without it the rows are counted first.
+    """
     on = list(on)
     if not on:
         # one global statistics row (size 1): broadcast on a constant key
         one = F.lit(1).alias("_one")
         return big.select("*", one).join(F.broadcast(stats.select("*", one)), on="_one", how=how).drop("_one")
-    stats = stats.persist()
-    n = stats.count()
-    side = F.broadcast(stats) if n <= row_limit else stats
+    if bound is None:
+        stats = stats.persist()
+        bound = stats.count()
+    side = F.broadcast(stats) if bound <= row_limit else stats
     return big.join(side, on=on, how=how)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float],
-                    accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+                    accuracy: int = QUANTILE_ACCURACY, bound: int | None = None,
+                    max_group_rows: int | None = None) -> DataFrame:
     """Per-group quantiles (linear interpolation, as numpy.percentile).
 
     Returns ``by + list(probs)`` columns; groups with no non-null value give
@@ -47,6 +57,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     """
     by = list(by)
     names = list(probs)
+    if max_group_rows is not None and max_group_rows <= DIRECT_PERCENTILE_ROWS:
+        pc = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(probs[k]) for k in names]))
+        g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(pc.alias("_p"))
+        return g.select(*by, *[F.col("_p")[i].alias(nm) for i, nm in enumerate(names)]).persist()
     margin = 3.0 / accuracy
     lo_p = [max(0.0, probs[k] - margin) for k in names]
     hi_p = [min(1.0, probs[k] + margin) for k in names]
@@ -60,8 +74,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
         *by, "_m",
         *[F.col("_b")[i].alias(f"_lo{i}") for i in range(k)],
         *[F.col("_b")[k + i].alias(f"_hi{i}") for i in range(k)],
-    )
-    xb = attach(x, brk, by, how="inner")
+    ).persist()
+    xb = attach(x, brk, by, how="inner", bound=bound)
 
     # pass 2a: per bracket, rows below / inside and the nearest value on
     # each side (a sketch rank may sit one row off the interpolation pair)
@@ -91,7 +105,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
                                    (t - F.floor(t)).alias("_fr"), F.col(f"_cb{i}").alias("_cb"),
                                    F.col(f"_ci{i}").alias("_ci"), F.col(f"_pv{i}").alias("_pv"),
                                    F.col(f"_nx{i}").alias("_nx")))
-    tg = below.select(*by, "_m", F.inline(F.array(*tg_structs)))
+    tg = below.select(*by, "_m", F.inline(F.array(*tg_structs))).persist()
     idx0 = F.col("_k") - F.col("_cb") + 1  # 1-based bracket index of v[k]
     j = ranked.join(tg.select(*by, "_q", "_k", "_cb"), on=by + ["_q"], how="inner")
     j = j.where((F.col("_r") == idx0) | (F.col("_r") == idx0 + 1))
@@ -111,7 +125,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     val = F.when(F.col("_fr") == 0, v0).otherwise(v0 + F.col("_fr") * (v1 - v0))
     per_q = t2.select(*by, "_q", val.alias("_val"))
     wide = per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(nm)
-                                    for i, nm in enumerate(names)])
+                                    for i, nm in enumerate(names)]).persist()
     # keep groups that have values; groups without values are absent (caller left-joins)
     return wide
 

@@ -49,16 +49,19 @@ def _moments(x: str = "_x") -> list[Column]:
     ]
 
 
-def iqr_mad_stats(long: DataFrame, by: Sequence[str], want_mad: bool = True) -> DataFrame:
+def iqr_mad_stats(long: DataFrame, by: Sequence[str], want_mad: bool = True, bound: int | None = None,
+                  probs: dict | None = None, max_group_rows: int | None = None) -> DataFrame:
     """q1, q3, median and MAD (median absolute deviation) per group."""
     by = list(by)
-    q = exact_quantiles(long, by, "_x", {"_q1": 0.25, "_med": 0.5, "_q3": 0.75})
+    q = exact_quantiles(long, by, "_x", probs or {"_q1": 0.25, "_med": 0.5, "_q3": 0.75}, bound=bound,
+                        max_group_rows=max_group_rows)
     if not want_mad:
         return q
-    dev = attach(long.select(*by, "_x").where(F.col("_x").isNotNull()), q.select(*by, "_med"), by, how="inner")
+    dev = attach(long.select(*by, "_x").where(F.col("_x").isNotNull()), q.select(*by, "_med"), by, how="inner",
+                 bound=bound)
     dev = dev.select(*by, F.abs(F.col("_x") - F.col("_med")).alias("_ad"))
-    mad = exact_quantiles(dev, by, "_ad", {"_mad": 0.5})
-    return q.join(mad, on=by, how="left")
+    mad = exact_quantiles(dev, by, "_ad", {"_mad": 0.5}, bound=bound, max_group_rows=max_group_rows)
+    return q.join(mad, on=by, how="left").persist()
 
 
 def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correlation: bool = True,
@@ -79,9 +82,11 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
         F.max(F.when(valid, F.col("pos"))).alias("_lastp"),
         F.stddev_samp(F.when(valid, F.col("_x") - F.col("_pvv"))).alias("_dsd"),
     )
-    qs = iqr_mad_stats(long, by)
-    st = base.join(qs, on=by, how="left")
-    withq = attach(long.select(*by, "_x"), st.select(*by, "_m", "_q1", "_q3", "_med", "_mad"), by, how="inner")
+    bound = sig.group_bound
+    qs = iqr_mad_stats(long, by, bound=bound, max_group_rows=sig.max_series_rows)
+    st = base.join(qs, on=by, how="left").persist()
+    withq = attach(long.select(*by, "_x"), st.select(*by, "_m", "_q1", "_q3", "_med", "_mad"), by, how="inner",
+                   bound=bound)
     iqr = F.col("_q3") - F.col("_q1")
     iqr_out = (F.col("_m") >= 4) & (iqr > 0) & (
         (F.col("_x") < F.col("_q1") - iqr_factor * iqr) | (F.col("_x") > F.col("_q3") + iqr_factor * iqr))
@@ -90,7 +95,7 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
     rates = withq.groupBy(*by).agg(F.count_if(iqr_out).alias("_iqr_n"), F.count_if(mad_out).alias("_mad_n"))
 
     drift = drift_table(long, by)
-    ent = entropy_table(long, st, by)
+    ent = entropy_table(long, st, by, bound=bound)
     out = st.join(rates, on=by, how="left").join(drift, on=by, how="left").join(ent, on=by, how="left")
     if with_correlation and len(sig.features) > 1:
         out = out.join(corr_mean_abs(sig), on=by, how="left")
@@ -118,13 +123,13 @@ def drift_table(long: DataFrame, by: Sequence[str]) -> DataFrame:
     return j.groupBy(*by).agg((F.max(roll) - F.min(roll)).alias("_rrange"))
 
 
-def entropy_table(long: DataFrame, st: DataFrame, by: Sequence[str]) -> DataFrame:
+def entropy_table(long: DataFrame, st: DataFrame, by: Sequence[str], bound: int | None = None) -> DataFrame:
     """Normalised Shannon entropy of an equal-width histogram."""
     by = list(by)
     s = st.select(*by, "_m", "_min", "_max", "_nd",
                   F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.sqrt(F.col("_m"))).cast("long"))).alias("_bins"))
     s = s.where((F.col("_m") >= 10) & (F.col("_nd") > 1))
-    j = attach(long.select(*by, "_x").where(F.col("_x").isNotNull()), s, by, how="inner")
+    j = attach(long.select(*by, "_x").where(F.col("_x").isNotNull()), s, by, how="inner", bound=bound)
     b = F.least(F.col("_bins") - 1,
                 F.floor((F.col("_x") - F.col("_min")) / (F.col("_max") - F.col("_min")) * F.col("_bins")).cast("long"))
     cnt = j.groupBy(*by, b.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.first("_m").alias("_m"))
@@ -253,9 +258,10 @@ def profile_ev(sig: Signal) -> DataFrame:
     by = keys + ["_f"]
     long = long_carry_plain(sig)
     st = long.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *_moments())
-    q = exact_quantiles(long, by, "_x", {"_q1": 0.25, "_q3": 0.75})
+    q = exact_quantiles(long, by, "_x", {"_q1": 0.25, "_q3": 0.75}, bound=sig.group_bound,
+                        max_group_rows=sig.max_series_rows)
     st = st.join(q, on=by, how="left")
-    j = attach(long.select(*by, "_x"), st.select(*by, "_q1", "_q3"), by, how="inner")
+    j = attach(long.select(*by, "_x"), st.select(*by, "_q1", "_q3"), by, how="inner", bound=sig.group_bound)
     iqr = F.col("_q3") - F.col("_q1")
     out_c = (iqr > 0) & ((F.col("_x") < F.col("_q1") - 1.5 * iqr) | (F.col("_x") > F.col("_q3") + 1.5 * iqr))
     rates = j.groupBy(*by).agg(F.count_if(out_c).alias("_o"))

@@ -96,7 +96,10 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     keys = list(keys)
     part = keys + ["_blk"]
     w = Window.partitionBy(*part).orderBy("pos")
-    w_prev, w_next, w_cum = w.rowsBetween(_UNB, -1), w.rowsBetween(1, _UNF), w.rowsBetween(_UNB, 0)
+    # "next valid" uses a descending order with an unbounded-preceding frame:
+    # Spark re-aggregates unbounded-following frames per row (O(n^2)).
+    wd = Window.partitionBy(*part).orderBy(F.col("pos").desc())
+    w_prev, w_next, w_cum = w.rowsBetween(_UNB, -1), wd.rowsBetween(_UNB, -1), w.rowsBetween(_UNB, 0)
 
     def pv(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(c).cast("double").alias("v")))
@@ -104,7 +107,7 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     local_cols, summ_aggs = [], []
     for i, c in enumerate(features):
         local_cols += [F.last(pv(c), True).over(w_prev).alias(f"_lp{i}"),
-                       F.first(pv(c), True).over(w_next).alias(f"_ln{i}"),
+                       F.last(pv(c), True).over(w_next).alias(f"_ln{i}"),
                        F.count(c).over(w_cum).alias(f"_lc{i}")]
         summ_aggs += [F.max(pv(c)).alias(f"_bl{i}"), F.min(pv(c)).alias(f"_bf{i}"), F.count(c).alias(f"_bc{i}")]
         if prefix_sum:
@@ -113,11 +116,12 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     local = df.select("*", *local_cols)
     summ = df.groupBy(*part).agg(*summ_aggs)
     wb = Window.partitionBy(*keys).orderBy("_blk")
-    bprev, bnext, ball = wb.rowsBetween(_UNB, -1), wb.rowsBetween(1, _UNF), wb.rowsBetween(_UNB, _UNF)
+    wbd = Window.partitionBy(*keys).orderBy(F.col("_blk").desc())
+    bprev, bnext, ball = wb.rowsBetween(_UNB, -1), wbd.rowsBetween(_UNB, -1), wb.rowsBetween(_UNB, _UNF)
     carry_cols = []
     for i in range(len(features)):
         carry_cols += [F.last(f"_bl{i}", True).over(bprev).alias(f"_cp{i}"),
-                       F.first(f"_bf{i}", True).over(bnext).alias(f"_cn{i}"),
+                       F.last(f"_bf{i}", True).over(bnext).alias(f"_cn{i}"),
                        F.coalesce(F.sum(f"_bc{i}").over(bprev), F.lit(0)).alias(f"_cc{i}"),
                        F.sum(f"_bc{i}").over(ball).alias(f"_m{i}")]
         if prefix_sum:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.exprs import finite_or_null
-from .operators.sequence import with_pos
+from .operators.sequence import ROWS_PER_BLOCK, with_pos
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,19 @@ class Signal:
     def key_cols(self) -> list[str]:
         return list(self.keys)
 
+    @property
+    def n_series(self) -> int:
+        return int(self.meta.get("n_series", 0)) or 1
+
+    @property
+    def group_bound(self) -> int:
+        """Proven upper bound of rows of any per-(series, feature) table."""
+        return (self.n_series + 1) * max(1, len(self.features))  # +1: a NULL key group
+
+    @property
+    def max_series_rows(self) -> int | None:
+        return self.meta.get("max_series_rows")
+
     def select_features(self, features: Sequence[str]) -> "Signal":
         return replace(self, features=tuple(features))
 
@@ -49,8 +62,20 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     cols = []
     for c in df.columns:
         cols.append(finite_or_null(c).alias(c) if c in features else F.col(c))
-    d = with_pos(df.select(*cols), keys, order, n_blocks=n_blocks)
-    return Signal(d, tuple(keys), tuple(order), tuple(features))
+    src = df.select(*cols)
+    # one small job: rows, number of series (size bound of every per-series
+    # statistics table, used for checked broadcasts) and the longest series
+    # (chooses the exact-quantile path)
+    if keys:
+        row = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(
+            F.sum("c").alias("n"), F.count(F.lit(1)).alias("s"), F.max("c").alias("mx")).first()
+    else:
+        row = src.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("s"), F.count(F.lit(1)).alias("mx")).first()
+    total, n_series, longest = int(row["n"] or 0), int(row["s"] or 0), int(row["mx"] or 0)
+    if n_blocks is None:
+        n_blocks = max(1, -(-total // ROWS_PER_BLOCK))
+    d = with_pos(src, keys, order, n_blocks=n_blocks)
+    return Signal(d, tuple(keys), tuple(order), tuple(features), meta={"n_series": n_series, "n_rows": total, "max_series_rows": longest})
 
 
 def with_signal_pos(df: DataFrame, keys, order, n_blocks=None) -> DataFrame:
