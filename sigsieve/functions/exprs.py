@@ -59,8 +59,9 @@ def round_half_even(c, digits: int = 1) -> Column:
 
 def r6(c) -> Column:
     """Fixed rounding used by every compared float: round(x*1e6)/1e6."""
-    return F.round(col(c) * F.lit(1e6), 0) / F.lit(1e6)
+    # "+ 0.0" turns -0.0 into 0.0 (IEEE), same on the SQL side
+    return F.round(col(c) * F.lit(1e6), 0) / F.lit(1e6) + F.lit(0.0)
 
 
 def r4(c) -> Column:
-    return F.round(col(c) * F.lit(1e4), 0) / F.lit(1e4)
+    return F.round(col(c) * F.lit(1e4), 0) / F.lit(1e4) + F.lit(0.0)

@@ -12,7 +12,7 @@ from ..sources.tables import EVENTS_GAP_RULE, EVENTS_SPIKE_RULE, WIDE_FEATURES,
 
 
 def R6(e: str) -> str:
-    return f"round(({e}) * 1e6) / 1e6"
+    return f"(round(({e}) * 1e6) / 1e6 + 0.0)"
 
 
 def qcols(keys) -> str:

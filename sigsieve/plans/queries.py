@@ -105,3 +105,61 @@ def q_quality_index(spark, sf_dir):
 def q_quality_index_events(spark, sf_dir):
     prof = _events_profile(spark, sf_dir)
     return finalize(prof.select("event_type", "feature", *PROFILE_COLS))
+
+
+# ---------------------------------------------------------------------------
+# Transforms on the wide signal (lineitem channels per supplier)
+# ---------------------------------------------------------------------------
+from ..operators import transform as X  # noqa: E402
+from ..operators.smooth import close_gaps, savgol  # noqa: E402
+from . import pipeline as PL  # noqa: E402
+
+
+def _rows(sig):
+    return finalize(sig.df.select(*sig.keys, "pos", *sig.features))
+
+
+def _tx(name, fn):
+    QUERIES[name] = lambda spark, sf_dir: _rows(fn(signal_wide(spark, sf_dir)))
+
+
+_tx("mean_fill", lambda s: X.impute(s, "Mean Imputation"))
+_tx("locf", lambda s: X.impute(s, "LOCF"))
+_tx("locf_forward", lambda s: X.impute(s, "LOCF", variant="v1"))
+_tx("linear_fill", lambda s: X.impute(s, "Linear Interpolation"))
+_tx("linear_fill_ev", lambda s: X.impute(s, "Linear Interpolation", variant="ev"))
+_tx("zscore_mask", lambda s: X.mask_outliers(s, "Z-Score"))
+_tx("iqr_mask", lambda s: X.mask_outliers(s, "IQR"))
+_tx("mad_mask", lambda s: X.mask_outliers(s, "MAD"))
+_tx("mad_mask_ev", lambda s: X.mask_outliers(s, "MAD", variant="ev"))
+_tx("winsorize", lambda s: X.mask_outliers(s, "Winsorization"))
+_tx("scale_standard", lambda s: X.scale(s, "StandardScaler"))
+_tx("scale_robust", lambda s: X.scale(s, "RobustScaler"))
+_tx("scale_minmax", lambda s: X.scale(s, "MinMaxScaler"))
+_tx("scale_standard_ev", lambda s: X.scale(s, "StandardScaler", variant="ev"))
+_tx("clip_limits", lambda s: X.clip(s, 0.02, 45.0))
+_tx("clean_mv_first", lambda s: PL.cleaning_stage(s, "LOCF", "IQR"))
+_tx("clean_outlier_first", lambda s: PL.cleaning_stage(s, "None", "MAD", PL.Settings(operation_order=PL.OUT_FIRST)))
+_tx("pipeline_full", lambda s: PL.run_pipeline(s, "Linear Interpolation", "MAD", "RobustScaler"))
+_tx("simple_default", lambda s: PL.preset(s, "simple_default"))
+
+
+@query("locf_long")
+def q_locf_long(spark, sf_dir):
+    """One long series (all events) cut into 16 blocks: LOCF crosses block edges."""
+    return _rows(X.impute(signal_events(spark, sf_dir, None, n_blocks=16), "LOCF"))
+
+
+@query("linear_fill_long")
+def q_linear_long(spark, sf_dir):
+    return _rows(X.impute(signal_events(spark, sf_dir, None, n_blocks=16), "Linear Interpolation"))
+
+
+@query("close_gaps")
+def q_close_gaps(spark, sf_dir):
+    return _rows(close_gaps(signal_events(spark, sf_dir, "user_id")))
+
+
+@query("savgol")
+def q_savgol(spark, sf_dir):
+    return _rows(savgol(signal_events(spark, sf_dir, "event_type", n_blocks=4), 11, 2))

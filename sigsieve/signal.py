@@ -46,6 +46,11 @@ class Signal:
     def max_series_rows(self) -> int | None:
         return self.meta.get("max_series_rows")
 
+    def materialize(self) -> "Signal":
+        """Cut lineage: reliable checkpoint in the session's checkpoint folder."""
+        from .session import materialize
+        return self.with_df(materialize(self.df))
+
     def select_features(self, features: Sequence[str]) -> "Signal":
         return replace(self, features=tuple(features))
 
@@ -56,8 +61,13 @@ class Signal:
 
 
 def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str],
-                n_blocks: int | None = None) -> Signal:
-    """Build a signal: cast channels to DOUBLE, NaN/inf -> NULL, add pos/blocks."""
+                n_blocks: int | None = None, checkpoint: bool = True) -> Signal:
+    """Build a signal: cast channels to DOUBLE, NaN/inf -> NULL, add pos/blocks.
+
+    With ``checkpoint`` the positioned table is written once to the session's
+    checkpoint folder: later stages start from a short plan, and a lost
+    executor costs a re-read instead of a re-shuffle.
+    """
     keys, order, features = list(keys), list(order), list(features)
     cols = []
     for c in df.columns:
@@ -75,6 +85,9 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     if n_blocks is None:
         n_blocks = max(1, -(-total // ROWS_PER_BLOCK))
     d = with_pos(src, keys, order, n_blocks=n_blocks)
+    if checkpoint:
+        from .session import materialize
+        d = materialize(d)
     return Signal(d, tuple(keys), tuple(order), tuple(features), meta={"n_series": n_series, "n_rows": total, "max_series_rows": longest})
 
 

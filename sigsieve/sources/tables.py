@@ -28,16 +28,16 @@ def signal_events(spark: SparkSession, sf_dir: str, series: str | None = "event_
     """events.value as a signal; series by ``series`` (None = one long series)."""
     keys = [series] if series else []
     ev = read(spark, sf_dir, "events").select(*keys, "event_id", "value")
-    sig = make_signal(ev, keys, ["event_id"], ["value"], n_blocks=n_blocks)
+    sig = make_signal(ev, keys, ["event_id"], ["value"], n_blocks=n_blocks, checkpoint=False)
     v = F.when(F.expr(EVENTS_GAP_RULE), F.lit(None).cast("double")) \
         .when(F.expr(EVENTS_SPIKE_RULE), F.col("value") * 8).otherwise(F.col("value"))
-    return sig.with_df(sig.df.withColumn("value", v))
+    return sig.with_df(sig.df.withColumn("value", v)).materialize()
 
 
 def signal_wide(spark: SparkSession, sf_dir: str, n_blocks: int | None = None) -> Signal:
     """lineitem channels per supplier, with scattered and burst gaps and spikes."""
     li = read(spark, sf_dir, "lineitem").select(*WIDE_ORDER, *WIDE_FEATURES, "l_returnflag")
-    sig = make_signal(li, ["l_suppkey"], list(WIDE_ORDER), list(WIDE_FEATURES), n_blocks=n_blocks)
+    sig = make_signal(li, ["l_suppkey"], list(WIDE_ORDER), list(WIDE_FEATURES), n_blocks=n_blocks, checkpoint=False)
     d = sig.df
     null = F.lit(None).cast("double")
     d = d.withColumn("l_quantity", F.when(F.expr("(l_orderkey * 7 + l_linenumber) % 29 = 0"), null)
@@ -46,7 +46,7 @@ def signal_wide(spark: SparkSession, sf_dir: str, n_blocks: int | None = None) -
                      .when(F.expr("l_orderkey % 89 = 0"), F.col("l_extendedprice") * 6)
                      .otherwise(F.col("l_extendedprice")))
     d = d.withColumn("l_discount", F.when(F.expr("l_partkey % 17 = 0"), null).otherwise(F.col("l_discount")))
-    return sig.with_df(d)
+    return sig.with_df(d).materialize()
 
 
 def signal_clean_wide(spark: SparkSession, sf_dir: str, n_blocks: int | None = None) -> Signal:
