@@ -20,7 +20,8 @@ from ..functions.stats import attach, exact_quantiles
 from ..signal import Signal
 from .sequence import carry_valid
 
-NULL = F.lit(None).cast("double")
+def _null():
+    return F.lit(None).cast("double")
 
 
 def _long(sig: Signal) -> DataFrame:
@@ -155,7 +156,7 @@ def impute(sig: Signal, method: str, variant: str = "v2") -> Signal:
 
 
 # ---------------------------------------------------------------------------
-# Outliers (O1-O4): value -> NULL, or clip (winsorise)
+# Outliers (O1-O4): value -> _null(), or clip (winsorise)
 # ---------------------------------------------------------------------------
 OUT_ALIASES = {"zscore": "Z-Score", "iqr": "IQR", "mad": "MAD", "winsor": "Winsorization",
                "isolation_forest": "Isolation Forest", "none": "None"}
@@ -202,14 +203,14 @@ def mask_outliers(sig: Signal, method: str, z_thresh: float = 3.0, iqr_factor: f
             continue
         else:
             raise ValueError(method)
-        new[c] = F.when(F.coalesce(bad, F.lit(False)), NULL).otherwise(x)
+        new[c] = F.when(F.coalesce(bad, F.lit(False)), _null()).otherwise(x)
     return _finish(sig, df, new)
 
 
 def clip(sig: Signal, lo: float | None, hi: float | None) -> Signal:
     """Clip to manual limits, keeping gaps as gaps."""
-    new = {c: clip_keep_null(F.col(c), F.lit(lo) if lo is not None else NULL,
-                             F.lit(hi) if hi is not None else NULL) for c in sig.features}
+    new = {c: clip_keep_null(F.col(c), F.lit(lo) if lo is not None else _null(),
+                             F.lit(hi) if hi is not None else _null()) for c in sig.features}
     return _finish(sig, sig.df, new)
 
 
