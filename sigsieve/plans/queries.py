@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import r6
 from ..operators import profile as P
 from ..operators import recommend as R
-from ..sources.tables import signal_events, signal_wide
+from ..sources.tables import EVENTS_GAP_RULE, EVENTS_SPIKE_RULE, read, signal_events, signal_wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -163,3 +163,105 @@ def q_close_gaps(spark, sf_dir):
 @query("savgol")
 def q_savgol(spark, sf_dir):
     return _rows(savgol(signal_events(spark, sf_dir, "event_type", n_blocks=4), 11, 2))
+
+
+# ---------------------------------------------------------------------------
+# Profile-derived analytics
+# ---------------------------------------------------------------------------
+from ..functions.exprs import r6  # noqa: E402,F811
+
+
+@query("quality_rollup")
+def q_quality_rollup(spark, sf_dir):
+    """Per series mean QI, #critical (<40), #risky (40-60)."""
+    prof = _wide_profile(spark, sf_dir)
+    return finalize(prof.groupBy("l_suppkey").agg(
+        F.avg("quality_index").alias("mean_quality_index"),
+        F.count_if(F.col("quality_index") < 40).alias("n_critical"),
+        F.count_if((F.col("quality_index") >= 40) & (F.col("quality_index") < 60)).alias("n_risky"),
+        F.count(F.lit(1)).alias("n_features")))
+
+
+@query("radar")
+def q_radar(spark, sf_dir):
+    """P20: the six sub-scores (no unique-ratio penalty)."""
+    return finalize(P.radar(_wide_profile(spark, sf_dir), ["l_suppkey"]))
+
+
+@query("histogram")
+def q_histogram(spark, sf_dir):
+    """60 equal-width bins per feature over [min, max] of the whole table."""
+    from ..operators.stats_views import histogram
+    return finalize(histogram(signal_wide(spark, sf_dir), bins=60))
+
+
+@query("adaptive_recommend")
+def q_adaptive(spark, sf_dir):
+    """Scored methods per series and feature (reading-task domain)."""
+    rec = R.recommend_adaptive(_wide_profile(spark, sf_dir), ["l_suppkey"])
+    return finalize(rec.select("l_suppkey", "feature", "missing_method", "outlier_method", "normalization_method",
+                               "smoothing_method", "confidence", "expected_gain",
+                               F.array_join("rationale", " | ").alias("rationale"),
+                               F.array_join("risk_flags", " | ").alias("risk_flags")))
+
+
+@query("adaptive_recommend_web")
+def q_adaptive_web(spark, sf_dir):
+    """Same, with the web/mobile domain priors (smoothing and prior terms differ)."""
+    rec = R.recommend_adaptive(_events_profile(spark, sf_dir), ["event_type"], domain="Web/mobile remote tracking",
+                               aggressive=0.8)
+    return finalize(rec.select("event_type", "feature", "missing_method", "outlier_method", "normalization_method",
+                               "smoothing_method", "confidence"))
+
+
+def _files_rules(spark, sf_dir):
+    """Evaluation profile + rules with every (event_type, user_id) as one file."""
+    from ..signal import make_signal
+    ev = read(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
+    sig = make_signal(ev, ["event_type", "user_id"], ["event_id"], ["value"], checkpoint=False)
+    v = F.when(F.expr(EVENTS_GAP_RULE), F.lit(None).cast("double")) \
+        .when(F.expr(EVENTS_SPIKE_RULE), F.col("value") * 8).otherwise(F.col("value"))
+    sig = sig.with_df(sig.df.withColumn("value", v)).materialize()
+    return R.recommend_rules(P.profile_ev(sig))
+
+
+@query("all_files_profile")
+def q_all_files(spark, sf_dir):
+    """Profile + rule recommendation for every file x feature."""
+    return finalize(_files_rules(spark, sf_dir))
+
+
+@query("recommend_summary")
+def q_rec_summary(spark, sf_dir):
+    """Number of features per (dataset, three recommended methods)."""
+    r = _files_rules(spark, sf_dir)
+    return finalize(r.groupBy(F.col("event_type").alias("dataset"), "recommended_missing", "recommended_outlier",
+                              "recommended_normalization").agg(F.count(F.lit(1)).alias("n_features")))
+
+
+OUTLIER_CODES = ["ZScore", "IQR_or_IsolationForest", "MAD_or_IsolationForest", "IsolationForest"]
+
+
+@query("recommend_crosstab")
+def q_rec_crosstab(spark, sf_dir):
+    """Dataset x outlier-method counts, missing cells 0."""
+    r = _files_rules(spark, sf_dir)
+    ct = r.groupBy(F.col("event_type").alias("dataset")).pivot("recommended_outlier", OUTLIER_CODES).count()
+    return finalize(ct.na.fill(0, OUTLIER_CODES))
+
+
+@query("domain_infer")
+def q_domain_infer(spark, sf_dir):
+    """Inferred domain per table from numeric column names and row count."""
+    from pyspark.sql import types as T
+    rows = None
+    for t in ["lineitem", "orders", "customer", "supplier", "part", "events"]:
+        df = read(spark, sf_dir, t)
+        num = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+        names = " ".join(num).lower()
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(t).alias("table_name"), F.col("n_rows").cast("long").alias("n_rows"),
+            F.lit(len(num)).cast("long").alias("n_features"),
+            R.infer_domain_expr(F.lit(names), F.col("n_rows"), F.lit(len(num))).alias("domain"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
