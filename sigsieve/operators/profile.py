@@ -65,7 +65,7 @@ def iqr_mad_stats(long: DataFrame, by: Sequence[str], want_mad: bool = True, bou
 
 
 def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correlation: bool = True,
-            iqr_factor: float = 1.5, mad_thresh: float = 3.5) -> DataFrame:
+            iqr_factor: float = 1.5, mad_thresh: float = 3.5, extras: bool = False) -> DataFrame:
     """The full profile table (P1-P17) for every series and feature."""
     keys = list(sig.keys)
     by = keys + ["_f"]
@@ -101,7 +101,7 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
         out = out.join(corr_mean_abs(sig), on=by, how="left")
     else:
         out = out.withColumn("corr_mean_abs", F.lit(0.0))
-    return assemble(out, keys, sig.features, weights)
+    return assemble(out, keys, sig.features, weights, extras=extras)
 
 
 def drift_table(long: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -198,7 +198,7 @@ def quality_label(qi) -> Column:
 
 
 def assemble(st: DataFrame, keys: Sequence[str], features: Sequence[str],
-             weights: Sequence[float] | Column = DEFAULT_WEIGHTS) -> DataFrame:
+             weights: Sequence[float] | Column = DEFAULT_WEIGHTS, extras: bool = False) -> DataFrame:
     """Turn raw aggregates into the profile record."""
     keys = list(keys)
     n = F.col("_n")
@@ -229,6 +229,9 @@ def assemble(st: DataFrame, keys: Sequence[str], features: Sequence[str],
         unique_ratio.alias("unique_ratio"), drift.alias("drift_score"), vol.alias("volatility_score"),
         ent.alias("entropy_score"), corr.alias("corr_mean_abs"),
         *([F.col("_w6")] if "_w6" in st.columns else []),
+        *([F.when((m > 4) & sd_ok, safe(F.col("_dsd") / (F.col("_sd") + 1e-12))).otherwise(F.lit(0.0))
+           .alias("jitter_proxy"), safe(F.col("_sd")).alias("std"), safe(F.col("_min")).alias("min"),
+           safe(F.col("_max")).alias("max")] if extras else []),
     )
     return with_quality(base, weights if "_w6" not in st.columns else F.col("_w6"))
 

@@ -12,7 +12,7 @@ from ..sources.tables import EVENTS_GAP_RULE, EVENTS_SPIKE_RULE, WIDE_FEATURES,
 
 
 def R6(e: str) -> str:
-    return f"(round(({e}) * 1e6) / 1e6 + 0.0)"
+    return f"(round(({e}) * 1e6 + 1e-4) / 1e6 + 0.0)"
 
 
 def qcols(keys) -> str:
@@ -209,7 +209,8 @@ corr AS (SELECT {k}f, coalesce(avg(CASE WHEN r IS NOT NULL AND NOT isnan(r) THEN
 
 
 def full_profile_sql(sig_cte: str, keys, features, with_corr: bool = True,
-                     weights=(0.25, 0.20, 0.20, 0.15, 0.15, 0.05)) -> str:
+                     weights=(0.25, 0.20, 0.20, 0.15, 0.15, 0.05), src: str = "sig", extras: bool = False) -> str:
+    long_src = src
     """WITH ... , profile AS (...): complete v2 profile rows incl. QI/label."""
     corr = corr_ctes(keys, features) if (with_corr and len(features) > 1) else None
     qi, _ = quality_sql(weights)
@@ -221,8 +222,11 @@ def full_profile_sql(sig_cte: str, keys, features, with_corr: bool = True,
     else:
         src = "prof0 p"
         sel = profile_select([f"p.{k}" for k in keys], "0.0")
+    if extras:
+        sel += (", CASE WHEN p.m > 4 AND p.sd > 0 THEN " + safe("p.dsd / (p.sd + 1e-12)") + " ELSE 0.0 END AS jitter_proxy, "
+                + safe("p.sd") + " AS std, " + safe("p.mn") + " AS min, " + safe("p.mx") + " AS max")
     return f"""WITH {sig_cte},
-{long_of('sig', keys, features)},
+{long_of(long_src, keys, features)},
 {profile_ctes(keys, features)},
 {(corr + ',') if corr else ''}
 prof1 AS (SELECT {sel} FROM {src}),

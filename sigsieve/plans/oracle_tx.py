@@ -19,8 +19,9 @@ def part(keys) -> str:
 
 
 class Chain:
-    def __init__(self, base: str, cur: str, keys, feats):
-        self.ctes = [base]
+    def __init__(self, base: str, cur: str, keys, feats, prefix: str = ""):
+        self.ctes = [base] if base else []
+        self.prefix = prefix
         self.cur = cur
         self.keys = list(keys)
         self.feats = list(feats)
@@ -28,7 +29,7 @@ class Chain:
 
     def name(self, p="t") -> str:
         self.n += 1
-        return f"{p}{self.n}"
+        return f"{self.prefix}{p}{self.n}"
 
     def add(self, text: str):
         self.ctes.append(text)

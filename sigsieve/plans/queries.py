@@ -265,3 +265,64 @@ def q_domain_infer(spark, sf_dir):
             R.infer_domain_expr(F.lit(names), F.col("n_rows"), F.lit(len(num))).alias("domain"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+# ---------------------------------------------------------------------------
+# Stage audit and grids
+# ---------------------------------------------------------------------------
+from ..operators import audit as AU  # noqa: E402
+from . import grid as G  # noqa: E402
+
+AUDIT_OUT = ["feature"] + AU.AUDIT_COLS
+
+
+@query("stage_audit")
+def q_stage_audit(spark, sf_dir):
+    """A1-A4: every C4 stage (LOCF, IQR, re-fill, robust scaling) audited."""
+    sig = signal_wide(spark, sf_dir)
+    st = PL.stages(sig, "LOCF", "IQR", "RobustScaler", "None")
+    return finalize(AU.stage_audit(sig, st).select("l_suppkey", "stage_no", "stage", *AUDIT_OUT))
+
+
+@query("stage_long")
+def q_stage_long(spark, sf_dir):
+    """Selected indicators by stage, long form."""
+    sig = signal_events(spark, sf_dir, "event_type")
+    st = PL.stages(sig, "Linear Interpolation", "MAD", "StandardScaler", "None")
+    a = AU.stage_audit(sig, st)
+    return finalize(AU.stage_long(a, ["event_type"]))
+
+
+@query("mv_outlier_grid")
+def q_grid(spark, sf_dir):
+    """G1: MV x outlier pairs on the original scale, ranked by quality index."""
+    g = G.mv_outlier_grid(signal_wide(spark, sf_dir))
+    return finalize(g.select("l_suppkey", "mv", "outlier", "rank", *[c for c in AUDIT_OUT if c != "change_from_previous"]))
+
+
+@query("grid_pivot")
+def q_grid_pivot(spark, sf_dir):
+    """Mean quality index per MV x outlier pair."""
+    g = G.mv_outlier_grid(signal_events(spark, sf_dir, "event_type"))
+    return finalize(G.grid_pivot(g))
+
+
+@query("mini_grid")
+def q_mini_grid(spark, sf_dir):
+    """MV x outlier x normalisation by quality index."""
+    return finalize(G.mini_grid(signal_events(spark, sf_dir, "event_type")))
+
+
+@query("mv_compare")
+def q_mv_compare(spark, sf_dir):
+    return finalize(G.mv_compare(signal_wide(spark, sf_dir)))
+
+
+@query("outlier_compare")
+def q_outlier_compare(spark, sf_dir):
+    return finalize(G.outlier_compare(signal_wide(spark, sf_dir)))
+
+
+@query("norm_compare")
+def q_norm_compare(spark, sf_dir):
+    return finalize(G.norm_compare(signal_wide(spark, sf_dir)))
