@@ -212,7 +212,7 @@ def full_profile_sql(sig_cte: str, keys, features, with_corr: bool = True,
                      weights=(0.25, 0.20, 0.20, 0.15, 0.15, 0.05), src: str = "sig", extras: bool = False) -> str:
     long_src = src
     """WITH ... , profile AS (...): complete v2 profile rows incl. QI/label."""
-    corr = corr_ctes(keys, features) if (with_corr and len(features) > 1) else None
+    corr = corr_ctes(keys, features, src=src) if (with_corr and len(features) > 1) else None
     qi, _ = quality_sql(weights)
     if corr:
         join = " LEFT JOIN corr c ON " + " AND ".join([f"p.{c} = c.{c}" for c in list(keys) + ["f"]])

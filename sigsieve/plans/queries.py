@@ -326,3 +326,78 @@ def q_outlier_compare(spark, sf_dir):
 @query("norm_compare")
 def q_norm_compare(spark, sf_dir):
     return finalize(G.norm_compare(signal_wide(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Validation and evaluation
+# ---------------------------------------------------------------------------
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators.stats_views import even_sample  # noqa: E402
+from ..sources.tables import WIDE_ORDER, signal_clean_wide  # noqa: E402
+
+
+@query("before_after")
+def q_before_after(spark, sf_dir):
+    """V1: profile before and after the full pipeline, joined on feature."""
+    raw = signal_wide(spark, sf_dir)
+    done = PL.run_pipeline(raw, "Linear Interpolation", "MAD", "RobustScaler").materialize()
+    u = AU.union_labelled([({"side": "before"}, raw), ({"side": "after"}, done)])
+    prof = P.profile(u)
+    b = prof.where(F.col("side") == "before").drop("side")
+    a = prof.where(F.col("side") == "after").drop("side")
+    return finalize(EV.before_after(b, a, ["l_suppkey"]))
+
+
+def _gt(spark, sf_dir, align):
+    raw = signal_wide(spark, sf_dir)
+    clean = signal_clean_wide(spark, sf_dir)
+    proc = PL.cleaning_stage(raw, "Linear Interpolation", "MAD")
+    return finalize(EV.ground_truth(clean, proc, raw, align))
+
+
+QUERIES["ground_truth_key"] = lambda spark, sf_dir: _gt(spark, sf_dir, list(WIDE_ORDER))
+QUERIES["ground_truth_pos"] = lambda spark, sf_dir: _gt(spark, sf_dir, ["l_suppkey", "pos"])
+
+
+@query("task_detect")
+def q_task_detect(spark, sf_dir):
+    """V6: task type for three candidate targets of lineitem."""
+    li = read(spark, sf_dir, "lineitem")
+    parts = [EV.task_detect(li, "l_returnflag", False), EV.task_detect(li, "l_tax", True),
+             EV.task_detect(li, "l_extendedprice", True)]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return finalize(out)
+
+
+def _ev_sig(spark, sf_dir):
+    return signal_events(spark, sf_dir, "event_type")
+
+
+def _ev_rows(sig):
+    return finalize(sig.df.select("event_type", "pos", "value"))
+
+
+QUERIES["inject_missing"] = lambda spark, sf_dir: _ev_rows(EV.inject_missing(_ev_sig(spark, sf_dir), 0.10, 42, "event_id"))
+QUERIES["inject_outliers"] = lambda spark, sf_dir: _ev_rows(
+    EV.inject_outliers(_ev_sig(spark, sf_dir), 0.10, 8.0, 42, "event_id"))
+QUERIES["inject_skew"] = lambda spark, sf_dir: _ev_rows(EV.inject_skew(_ev_sig(spark, sf_dir), 1.0))
+
+
+@query("degradation_matrix")
+def q_degradation(spark, sf_dir):
+    """Twelve scenarios per event type -> profile + rule recommendation."""
+    sig = _ev_sig(spark, sf_dir)
+    return finalize(EV.degradation_matrix(sig))
+
+
+@query("file_vectors")
+def q_file_vectors(spark, sf_dir):
+    """One feature vector per supplier (file)."""
+    return finalize(EV.file_vectors(signal_wide(spark, sf_dir)))
+
+
+@query("even_sample")
+def q_even_sample(spark, sf_dir):
+    """500 evenly spaced valid samples per event type."""
+    s = even_sample(_ev_sig(spark, sf_dir), 500)
+    return finalize(s.select("event_type", "pos", "sample_rank", "value"))
