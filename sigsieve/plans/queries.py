@@ -401,3 +401,21 @@ def q_even_sample(spark, sf_dir):
     """500 evenly spaced valid samples per event type."""
     s = even_sample(_ev_sig(spark, sf_dir), 500)
     return finalize(s.select("event_type", "pos", "sample_rank", "value"))
+
+
+# ---------------------------------------------------------------------------
+# Gaze-space metrics on the coordinate-pair stand-in (quantity, price)
+# ---------------------------------------------------------------------------
+from ..operators import spatial as SP  # noqa: E402
+
+
+@query("spatial_metrics")
+def q_spatial(spark, sf_dir):
+    """A5-A7, A9-A12 per supplier for the pair (l_quantity, l_extendedprice)."""
+    return finalize(SP.spatial_metrics(signal_wide(spark, sf_dir), "l_quantity", "l_extendedprice"))
+
+
+@query("phrase_complexity")
+def q_phrase(spark, sf_dir):
+    """Phrase-parse complexity of the cell sequence (rows-only check)."""
+    return finalize(SP.phrase_complexity(signal_wide(spark, sf_dir), "l_quantity", "l_extendedprice"))
