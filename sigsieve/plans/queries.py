@@ -419,3 +419,60 @@ def q_spatial(spark, sf_dir):
 def q_phrase(spark, sf_dir):
     """Phrase-parse complexity of the cell sequence (rows-only check)."""
     return finalize(SP.phrase_complexity(signal_wide(spark, sf_dir), "l_quantity", "l_extendedprice"))
+
+
+# ---------------------------------------------------------------------------
+# CSV ingest and typing (on a messy CSV export derived from events)
+# ---------------------------------------------------------------------------
+from ..sources import csv_ingest as CI  # noqa: E402
+
+
+def _dirty(spark, sf_dir):
+    return CI.read_csv(spark, CI.write_dirty_events_csv(spark, sf_dir))
+
+
+@query("token_clean")
+def q_token_clean(spark, sf_dir):
+    """Which cells are missing tokens."""
+    d = _dirty(spark, sf_dir)
+    return d.select(F.col("event_id").cast("long").alias("event_id"), CI.is_missing_token("value_txt").alias("is_missing"))
+
+
+@query("numeric_coerce")
+def q_numeric_coerce(spark, sf_dir):
+    """Text columns typed by the 80 % rule; cleaned numbers equal the source."""
+    typed, _ = CI.coerce_numeric(_dirty(spark, sf_dir))
+    return finalize(typed.select(F.col("event_id").cast("long").alias("event_id"),
+                                 F.col("user_id").cast("long").alias("user_id"), "event_type", "value_txt"))
+
+
+@query("coerce_decisions")
+def q_coerce_decisions(spark, sf_dir):
+    _, dec = CI.coerce_numeric(_dirty(spark, sf_dir))
+    return finalize(dec)
+
+
+@query("column_catalogue")
+def q_catalogue(spark, sf_dir):
+    """Numeric ratio, id-like, relevance and eligibility per column."""
+    return finalize(CI.column_catalogue(_dirty(spark, sf_dir)))
+
+
+@query("column_summary")
+def q_column_summary(spark, sf_dir):
+    """Type and missing % per column of the typed table."""
+    typed, _ = CI.coerce_numeric(_dirty(spark, sf_dir))
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.count(c).alias(f"_c{i}") for i, c in enumerate(typed.columns)]
+    r = typed.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(typed.schema[c].dataType.simpleString()).alias("dtype"),
+                              ((F.col("_n") - F.col(f"_c{i}")) * 100.0 / F.col("_n")).alias("missing_pct"))
+                     for i, c in enumerate(typed.columns)])
+    return finalize(r.select(F.inline(rows)))
+
+
+@query("head_rows")
+def q_head_rows(spark, sf_dir):
+    """First rows by order (the limit is the feature)."""
+    typed, _ = CI.coerce_numeric(_dirty(spark, sf_dir))
+    return finalize(typed.orderBy(F.col("event_id")).limit(5).select(
+        F.col("event_id").cast("long").alias("event_id"), "event_type", "value_txt"))
