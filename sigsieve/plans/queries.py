@@ -476,3 +476,12 @@ def q_head_rows(spark, sf_dir):
     typed, _ = CI.coerce_numeric(_dirty(spark, sf_dir))
     return finalize(typed.orderBy(F.col("event_id")).limit(5).select(
         F.col("event_id").cast("long").alias("event_id"), "event_type", "value_txt"))
+
+
+# ---------------------------------------------------------------------------
+# KNN imputation (exact, chunked receivers) and the robust preset
+# ---------------------------------------------------------------------------
+from ..operators.knn import knn_impute  # noqa: E402
+
+_tx("knn_fill", lambda s: knn_impute(s, k=5))
+_tx("robust_default", lambda s: PL.preset(s, "robust_default"))
