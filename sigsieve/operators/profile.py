@@ -76,12 +76,16 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
     base = long.groupBy(*by).agg(
         F.max("_n").alias("_n"),
         *_moments(),
-        F.count_distinct("_x").alias("_nd"),
         F.max(F.when(valid, gap)).alias("_gmax"),
         F.count_if(valid & (gap > 0)).alias("_gruns"),
         F.max(F.when(valid, F.col("pos"))).alias("_lastp"),
         F.stddev_samp(F.when(valid, F.col("_x") - F.col("_pvv"))).alias("_dsd"),
     )
+    # distinct values: two-level group-by (a count_distinct next to the other
+    # aggregates would make Spark expand every row)
+    nd = long.where(valid).groupBy(*by, "_x").agg(F.lit(1).alias("_one")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_nd"))
+    base = base.join(nd, on=by, how="left").withColumn("_nd", F.coalesce(F.col("_nd"), F.lit(0)))
     bound = sig.group_bound
     qs = iqr_mad_stats(long, by, bound=bound, max_group_rows=sig.max_series_rows)
     st = base.join(qs, on=by, how="left").persist()
