@@ -485,3 +485,74 @@ from ..operators.knn import knn_impute  # noqa: E402
 
 _tx("knn_fill", lambda s: knn_impute(s, k=5))
 _tx("robust_default", lambda s: PL.preset(s, "robust_default"))
+
+
+# ---------------------------------------------------------------------------
+# Sinks as tables (IO6-IO8) and the masked-imputation benchmark
+# ---------------------------------------------------------------------------
+from ..sources import sinks as SK  # noqa: E402
+
+
+@query("processed_table")
+def q_processed_table(spark, sf_dir):
+    """IO6: the original lineitem columns with the cleaned channels replaced."""
+    sig = signal_wide(spark, sf_dir)
+    done = PL.cleaning_stage(sig, "Linear Interpolation", "MAD")
+    li = read(spark, sf_dir, "lineitem").select(*WIDE_ORDER, *sig.features, "l_returnflag")
+    return finalize(SK.processed_table(li, done, list(WIDE_ORDER)))
+
+
+@query("pipeline_definition")
+def q_pipeline_definition(spark, sf_dir):
+    """IO7: recommended methods + settings per supplier and feature (JSON)."""
+    rec = R.recommend_adaptive(_wide_profile(spark, sf_dir), ["l_suppkey"])
+    return SK.pipeline_definition(rec, ["l_suppkey"], PL.DEFAULT, "Academic reading / cognitive task")
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    """IO8: one JSON report per series with before/after profiles."""
+    raw = signal_events(spark, sf_dir, "event_type")
+    done = PL.run_pipeline(raw, "Linear Interpolation", "MAD", "RobustScaler").materialize()
+    return SK.quality_report(P.profile(raw), P.profile(done), ["event_type"], "Academic reading / cognitive task")
+
+
+def masked_benchmark(spark, sf_dir):
+    """Mask 5/10/20 % of each channel of the complete (clean) rows by a
+    seeded hash, impute, RMSE on the masked cells per supplier, rate, method."""
+    clean = signal_clean_wide(spark, sf_dir)
+    rows = []
+    for ri, rate in enumerate((0.05, 0.10, 0.20)):
+        masked = clean
+        for fi, f in enumerate(clean.features):
+            one = masked.select_features([f])
+            one = EV.inject_missing(one, rate, seed=42 + 7 * ri + fi)
+            masked = masked.with_df(one.df).select_features(clean.features).materialize()
+        for m, v in (("mean", "Mean Imputation"), ("locf", "LOCF"), ("linear", "Linear Interpolation")):
+            imp = X.impute(masked, v, variant="ev")
+            a = AU._long_vals(imp, ["l_suppkey"]).withColumnRenamed("_x", "imp")
+            b = AU._long_vals(masked, ["l_suppkey"]).withColumnRenamed("_x", "msk")
+            c = AU._long_vals(clean, ["l_suppkey"]).withColumnRenamed("_x", "ref")
+            j = a.join(b, on=["l_suppkey", "pos", "_f"]).join(c, on=["l_suppkey", "pos", "_f"])
+            j = j.where(F.col("msk").isNull() & F.col("ref").isNotNull())
+            rows.append(j.groupBy("l_suppkey").agg(
+                F.lit(rate).alias("missing_rate_inserted"), F.lit(m).alias("method"),
+                F.sqrt(F.avg((F.col("imp") - F.col("ref")) ** 2)).alias("rmse_masked_values"),
+                F.count(F.lit(1)).alias("n_masked")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("masked_benchmark")
+def q_masked_benchmark(spark, sf_dir):
+    return finalize(masked_benchmark(spark, sf_dir))
+
+
+@query("benchmark_summary")
+def q_benchmark_summary(spark, sf_dir):
+    """Mean RMSE per (rate, method) over suppliers."""
+    b = masked_benchmark(spark, sf_dir)
+    return finalize(b.groupBy("missing_rate_inserted", "method").agg(
+        F.avg("rmse_masked_values").alias("mean_rmse")))
