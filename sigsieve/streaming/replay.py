@@ -1,0 +1,57 @@
+"""Replay a fitted cleaning step on a stream.
+
+The reference reads complete files only; this is the streaming form of its
+exported pipeline definition: statistics fitted on a batch (one row per
+series, see ``operators.transform.series_stats``) are applied to new rows of
+a Structured Streaming source with a stream-static join.  Row-local steps
+(mask by fitted fences, clip, scale) need no state; order-dependent steps
+(LOCF, interpolation) are not replayed here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.exprs import clip_keep_null
+
+
+def replay_scale(stream: DataFrame, stats: DataFrame, keys: Sequence[str], features: Sequence[str],
+                 method: str = "RobustScaler") -> DataFrame:
+    """Scale streaming rows with per-series statistics fitted on a batch.
+    ``stats`` has ``{stat}__{i}`` columns as produced by ``series_stats``."""
+    j = stream.join(stats, on=list(keys), how="left")
+    out = []
+    for i, f in enumerate(features):
+        x = F.coalesce(F.col(f), F.col(f"_med__{i}") if f"_med__{i}" in stats.columns else F.lit(None))
+        if method == "StandardScaler":
+            sd = F.col(f"_sdp__{i}")
+            y = F.when(sd > 0, (x - F.col(f"_mean__{i}")) / sd).otherwise(x - F.col(f"_mean__{i}"))
+        elif method == "MinMaxScaler":
+            r = F.col(f"_max__{i}") - F.col(f"_min__{i}")
+            y = F.when(r > 0, (x - F.col(f"_min__{i}")) / r).otherwise(x - F.col(f"_min__{i}"))
+        else:
+            iqr = F.col(f"_q3__{i}") - F.col(f"_q1__{i}")
+            y = F.when(iqr > 0, (x - F.col(f"_med__{i}")) / iqr).otherwise(x - F.col(f"_med__{i}"))
+        out.append(y.alias(f))
+    return j.select(*[c for c in stream.columns if c not in features], *out)
+
+
+def replay_mask_iqr(stream: DataFrame, stats: DataFrame, keys: Sequence[str], features: Sequence[str],
+                    factor: float = 1.5) -> DataFrame:
+    """Blank streaming values outside fences fitted on a batch (IQR rule)."""
+    j = stream.join(stats, on=list(keys), how="left")
+    out = []
+    for i, f in enumerate(features):
+        q1, q3 = F.col(f"_q1__{i}"), F.col(f"_q3__{i}")
+        iqr = q3 - q1
+        bad = (iqr > 0) & ((F.col(f) < q1 - factor * iqr) | (F.col(f) > q3 + factor * iqr))
+        out.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(None).cast("double")).otherwise(F.col(f)).alias(f))
+    return j.select(*[c for c in stream.columns if c not in features], *out)
+
+
+def replay_clip(stream: DataFrame, features: Sequence[str], lo: float, hi: float) -> DataFrame:
+    return stream.select(*[clip_keep_null(F.col(c), F.lit(lo), F.lit(hi)).alias(c) if c in features else F.col(c)
+                           for c in stream.columns])
