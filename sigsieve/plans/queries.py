@@ -556,3 +556,48 @@ def q_benchmark_summary(spark, sf_dir):
     b = masked_benchmark(spark, sf_dir)
     return finalize(b.groupBy("missing_rate_inserted", "method").agg(
         F.avg("rmse_masked_values").alias("mean_rmse")))
+
+
+# ---------------------------------------------------------------------------
+# Rule text, overrides, signal picker
+# ---------------------------------------------------------------------------
+@query("pipeline_rule")
+def q_pipeline_rule(spark, sf_dir):
+    """Whole-pipeline rule of the first app per file (event_type, user_id)."""
+    r = _files_rules(spark, sf_dir)
+    return finalize(r.select("event_type", "user_id", "feature",
+                             R.rule_pipeline_text("missing_rate", "outlier_rate_iqr").alias("pipeline_rule")))
+
+
+@query("override_recommend")
+def q_override(spark, sf_dir):
+    """A manual override (tax channel: LOCF, no outlier step) over the
+    scored recommendation; confidence and rationale are kept."""
+    rec = R.recommend_adaptive(_wide_profile(spark, sf_dir), ["l_suppkey"])
+    ov = rec.where(F.col("feature") == "l_tax").select(
+        "l_suppkey", "feature", F.lit("LOCF").alias("missing_method"), F.lit("None").alias("outlier_method"))
+    out = R.apply_overrides(rec, ov, ["l_suppkey"])
+    return finalize(out.select("l_suppkey", "feature", "missing_method", "outlier_method", "normalization_method",
+                               "smoothing_method", "confidence"))
+
+
+@query("signal_picker")
+def q_signal_picker(spark, sf_dir):
+    """First file (supplier order) and channel with >= 100 values and
+    > 20 distinct; named channel first, then relevant, then any."""
+    sig = signal_wide(spark, sf_dir)
+    st = [F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), F.col(f).alias("x"))
+          for i, f in enumerate(sig.features)]
+    lng = sig.df.select("l_suppkey", F.inline(F.array(*st)))
+    g = lng.groupBy("l_suppkey", "ordinal", "feature").agg(F.count("x").alias("n_valid"))
+    nd = lng.where(F.col("x").isNotNull()).groupBy("l_suppkey", "ordinal", "feature", "x").count() \
+        .groupBy("l_suppkey", "ordinal", "feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    c = g.join(nd, on=["l_suppkey", "ordinal", "feature"], how="left")
+    low = F.lower(F.col("feature"))
+    rel = F.lit(False)
+    for w in CI.RELEVANCE_INCLUDE:
+        rel = rel | F.contains(low, F.lit(w))
+    prio = F.when(F.contains(low, F.lit("pupil diameter right")), 0).when(rel, 1).otherwise(2)
+    ok = c.where((F.col("n_valid") >= 100) & (F.col("n_distinct") > 20))
+    return finalize(ok.orderBy("l_suppkey", prio, "ordinal").limit(1).select(
+        F.col("l_suppkey").alias("file"), "feature", "n_valid", "n_distinct"))
