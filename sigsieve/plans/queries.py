@@ -601,3 +601,23 @@ def q_signal_picker(spark, sf_dir):
     ok = c.where((F.col("n_valid") >= 100) & (F.col("n_distinct") > 20))
     return finalize(ok.orderBy("l_suppkey", prio, "ordinal").limit(1).select(
         F.col("l_suppkey").alias("file"), "feature", "n_valid", "n_distinct"))
+
+
+# ---------------------------------------------------------------------------
+# Downstream model comparison (V19, V20): files = suppliers, label = nation parity
+# ---------------------------------------------------------------------------
+@query("ml_compare")
+def q_ml_compare(spark, sf_dir):
+    from ..operators.downstream import evaluate_table
+    sig = signal_wide(spark, sf_dir)
+    lab = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+                                                 (F.col("s_nationkey") % 2).cast("int").alias("label"))
+    rows = []
+    for name in ("raw_aggregate", "simple_default", "robust_default"):
+        vec = EV.file_vectors(PL.preset(sig, name).materialize())
+        tab = vec.join(lab, on="l_suppkey", how="inner").withColumnRenamed("l_suppkey", "file")
+        rows.append(evaluate_table(tab, name))
+    schema = ("pipeline string, status string, n_files long, n_features long, n_splits long, accuracy_mean double, "
+              "accuracy_std double, f1_mean double, f1_std double, auc_mean double, auc_std double")
+    cols = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)
