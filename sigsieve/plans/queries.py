@@ -621,3 +621,11 @@ def q_ml_compare(spark, sf_dir):
               "accuracy_std double, f1_mean double, f1_std double, auc_mean double, auc_std double")
     cols = [c.split()[0] for c in schema.split(", ")]
     return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)
+
+
+@query("file_catalogue")
+def q_file_catalogue(spark, sf_dir):
+    """IO4: multi-file scan, label from the directory name, rows per file."""
+    d = CI.file_catalogue_scan(spark, CI.write_cohort_csv_dirs(spark, sf_dir))
+    return finalize(d.groupBy("dataset", F.col("file").cast("long").alias("file"), "label")
+                    .agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values")))

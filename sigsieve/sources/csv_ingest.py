@@ -157,3 +157,26 @@ def write_dirty_events_csv(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "dirty-events-csv")
     out.write.option("header", True).csv(path)
     return path
+
+
+def write_cohort_csv_dirs(spark: SparkSession, sf_dir: str) -> str:
+    """One CSV folder per recording (user) under two cohort directories, derived
+    from the events table (cohort by user parity).  Written under the
+    checkpoint folder."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    cohort = F.when(F.col("user_id") % 2 == 1, F.lit("cheating")).otherwise(F.lit("non_cheating"))
+    path = scratch_path(spark, "cohort-csv")
+    ev.withColumn("cohort", cohort).write.partitionBy("cohort", "user_id").option("header", True).csv(path)
+    return path
+
+
+def file_catalogue_scan(spark: SparkSession, base: str, label_dirs=(("cheating", 1), ("non_cheating", 0))) -> DataFrame:
+    """IO4: every CSV below ``base`` in one scan; file = recording folder,
+    label from the directory name (NULL when no rule matches)."""
+    df = (spark.read.option("header", True).option("recursiveFileLookup", True).csv(base)
+          .withColumn("_path", F.col("_metadata.file_path")))
+    lab = F.lit(None).cast("int")
+    for name, v in reversed(label_dirs):
+        lab = F.when(F.col("_path").rlike(f"/cohort={name}/"), F.lit(v)).otherwise(lab)
+    return (df.withColumn("file", F.regexp_extract("_path", r"user_id=([^/]+)", 1))
+            .withColumn("dataset", F.lit("cohorts")).withColumn("label", lab).drop("_path"))
