@@ -629,3 +629,20 @@ def q_file_catalogue(spark, sf_dir):
     d = CI.file_catalogue_scan(spark, CI.write_cohort_csv_dirs(spark, sf_dir))
     return finalize(d.groupBy("dataset", F.col("file").cast("long").alias("file"), "label")
                     .agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values")))
+
+
+@query("smooth_compare")
+def q_smooth_compare(spark, sf_dir):
+    """Savitzky-Golay against the unsmoothed pipeline output: mean |change|,
+    variance reduction %, std after."""
+    base = PL.run_pipeline(signal_events(spark, sf_dir, "event_type"), "Linear Interpolation", "MAD",
+                           "RobustScaler").materialize()
+    sm = savgol(base, 11, 2)
+    a = sm.df.select("event_type", "pos", F.col("value").alias("s"))
+    b = base.df.select("event_type", "pos", F.col("value").alias("b"))
+    j = a.join(b, on=["event_type", "pos"], how="inner")
+    vb = F.var_samp("b")
+    return finalize(j.groupBy("event_type").agg(
+        F.lit("Savitzky-Golay").alias("method"), F.avg(F.abs(F.col("s") - F.col("b"))).alias("mean_abs_change"),
+        F.when(vb != 0, (1 - F.var_samp("s") / vb) * 100).alias("variance_reduction"),
+        F.stddev_samp("s").alias("std_after")))
