@@ -646,3 +646,5 @@ def q_smooth_compare(spark, sf_dir):
         F.lit("Savitzky-Golay").alias("method"), F.avg(F.abs(F.col("s") - F.col("b"))).alias("mean_abs_change"),
         F.when(vb != 0, (1 - F.var_samp("s") / vb) * 100).alias("variance_reduction"),
         F.stddev_samp("s").alias("std_after")))
+
+_tx("featurewise_recommended", lambda s: PL.preset(s, "cirrus_recommended"))
