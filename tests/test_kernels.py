@@ -83,3 +83,13 @@ def test_no_single_partition_exchange_on_rows(spark):
         if "SinglePartition" in line:
             assert "Exchange" in line
     assert F is not None
+
+
+def test_scan_prunes_unused_columns(spark):
+    from sigsieve.operators.sequence import with_pos
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_quantity")
+    d = with_pos(li.where(F.col("l_quantity") > 1), ["l_suppkey"], ["l_orderkey"], n_blocks=1)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "l_shipdate" not in plan and "l_comment" not in plan
+    assert "GreaterThan(l_quantity,1.0)" in plan  # filter pushed into the parquet scan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double>" in plan
