@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,8 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files that no data frame refers to any more."""
+    """Let the context cleaner drop shuffle files that no data frame refers to any more.
+
+    Python's references end first and reach the JVM through a queue, hence the pause between the two collections."""
     gc.collect()
+    time.sleep(0.3)
     spark._jvm.System.gc()
 
 

@@ -215,16 +215,15 @@ def repeated_spans(docs: DataFrame, window: int = 13, hot: int = 200_000) -> Dat
     shared = _anchors(docs, window, runs=False).groupBy("g").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     shared = cut(shared.where("owner < last").select("g", "owner"))
     release(spark)
-    runs = _anchors(docs, window, runs=True).join(shared, "g").select("doc_id", "text_hash", "at", "owner")
-    passages = _passages(docs, runs, window).withColumn("key", F.md5("words"))
-    passages = cut(passages)
+    runs = cut(_anchors(docs, window, runs=True).join(shared, "g").select("doc_id", "text_hash", "at", "owner"))
     release(spark)
-    distinct = passages.groupBy("owner", "key", "words").agg(F.min("doc_id").alias("first"))
-    distinct = cut(distinct)
+    passages = cut(_passages(docs, runs, window).withColumn("key", F.md5("words")))
+    release(spark)
+    distinct = cut(passages.groupBy("owner", "key", "words").agg(F.min("doc_id").alias("first")))
     release(spark)
     heat = cut(distinct.groupBy("owner").count().where(F.col("count") > hot).select("owner"))
-    seen = _seen_before(distinct.join(heat, "owner", "left_anti"), window).unionByName(_seen_hot(distinct.join(heat, "owner", "left_semi"), window))
-    seen = cut(seen)
+    cold, hottest = distinct.join(heat, "owner", "left_anti"), distinct.join(heat, "owner", "left_semi")
+    seen = cut(_seen_before(cold, window).unionByName(_seen_hot(hottest, window)))
     release(spark)
     mine = passages.select("owner", "key", "doc_id", "text_hash", "start", "n_windows").join(seen, ["owner", "key"])
     covered = F.when(F.col("doc_id") > F.col("first"), F.array(F.array(F.lit(0), F.col("n_windows")))).otherwise(F.col("seen"))
