@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, simhash_dedup, substring_dedup
+from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, simhash_dedup, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, model).withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark, sf_dir):
     rows = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +50,8 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_source_mix": op10_source_mix,

@@ -89,25 +89,27 @@ def minimizers(g: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -
     none = np.zeros(0, np.int64)
     if not len(first):
         return none, none, none
-    keep = np.zeros(len(g), bool)
-    if width >= 8 and len(g) >= 16:
+    dense = 8 if width < 64 else 32  # places that are no minimum of any such window fall out in a few array passes
+    keep = np.ones(len(g), bool)
+    if width >= dense and len(g) >= 2 * dense:
         m = g.copy()
-        for step in (1, 2, 4):
-            m[:-step] = np.minimum(m[:-step], m[step:])
-        t = m.copy()
-        for step in (1, 2, 4):
-            t[step:] = np.maximum(t[step:], t[:-step].copy())
-        keep |= g == t
-        edge = (np.concatenate([first, last])[:, None] + np.arange(-16, 16)).ravel()
+        step = 1
+        while step < dense:
+            np.minimum(m[:-step], m[step:], out=m[:-step])
+            step *= 2
+        step = 1
+        while step < dense:
+            m[step:] = np.maximum(m[step:], m[:-step])
+            step *= 2
+        np.equal(g, m, out=keep)
+        edge = (np.concatenate([first, last])[:, None] + np.arange(-2 * dense, 2 * dense)).ravel()
         keep[edge[(edge >= 0) & (edge < len(g))]] = True
-    else:
-        keep[:] = True
     p = np.flatnonzero(keep)
     d = np.searchsorted(first, p, side="right") - 1
     fits = (d >= 0) & (p < last[np.maximum(d, 0)])
     p, d = p[fits], d[fits]
     widths = []
-    w = 16
+    w = 2 * dense
     while w < width:
         widths.append(w)
         w *= 2
