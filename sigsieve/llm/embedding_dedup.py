@@ -6,7 +6,8 @@ vectors; every vector is indexed and is a query.
 
 * Probes.  A near vector lies in another list only if it crosses the bisector between the two centroids, so a query probes
   each list whose bisector is at most `reach` away.  A displacement of length d has a component of about d / sqrt(dim)
-  along one direction; reach is three of those at the threshold's distance, or 1.25 times what the sample's linked pairs need, if more.
+  along one direction; reach is two of those at the threshold's distance, or 1.25 times what the sample's linked pairs
+  need, if more.  A link is found if either of its vectors probes the other's list.
 * Table lookup.  A vector's distance to its code is stored, so "lookup distance <= threshold distance + that" drops no
   link that was probed.  Survivors are compared by cosine in double precision: no link below the threshold is reported.
 * Hot lists.  A list is dealt into blocks of at most `block_rows`; queries stream past each block.  A task reports, for
@@ -73,7 +74,7 @@ def fit(sample: np.ndarray, n_rows: int, least: float, list_rows: int = 512, par
     residual = np.pad(sample - centroids[mine], ((0, 0), (0, parts * width - dim)))
     books = np.stack([_kmeans(residual[:, p * width : (p + 1) * width], max(1, min(codes, len(sample) // 8)), 6, rng) for p in range(parts)])
     far = np.sqrt(2 - 2 * least)
-    reach = 3 * far / np.sqrt(dim)
+    reach = 2 * far / np.sqrt(dim)
     t = _bisectors(sample, centroids, mine)
     need = [reach]
     for at in range(0, len(sample), 1024):
