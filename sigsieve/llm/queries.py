@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, simhash_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, substring_dedup, suffix_dedup
 from .common import table
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.learn(spark))
+
+
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -47,6 +55,8 @@ def op10_source_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
+    "op2_license_scan": op2_license_scan,
     "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
@@ -60,6 +70,7 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
 
 SQL = {
+    "op2_license_scan": license_scan.scan_sql(),
     "op3_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
