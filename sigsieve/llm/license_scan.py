@@ -77,7 +77,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
         return spark.createDataFrame([], spec)
     rows = _worded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = rows.where(F.arrays_overlap("_s", F.lit(every))).select("doc_id", F.xxhash64("text").alias("_h"), "_w", "_s").dropDuplicates(["doc_id", "_h"])
-    rows = cut(rows)
+    rows = cut(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few rows, much work on each
     cuts = "flatten(transform(array({}), c -> transform(sequence(0, size(_s) - 1, shiftleft(2, c)), a -> named_struct('c', c, 'win', slice(_s, a + 1, shiftleft(4, c))))))".format(", ".join(map(str, classes)))
     windows = rows.select("doc_id", "_h", F.explode(F.expr(cuts)).alias("x")).select("doc_id", "_h", "x.c", "x.win").where(F.arrays_overlap("win", F.lit(every)))
     minima = f"transform(sequence(1, {bands}), i -> array_min(transform({{}}, h -> xxhash64(h, i))))"
