@@ -21,13 +21,17 @@ from ..signal import Signal
 from . import profile as P
 from .audit import union_labelled
 
-HASH_MOD = 2147483647  # fixed: Park-Miller prime modulus of the row hash
+HASH_MOD = 16**13  # range of the row hash: 13 leading hex digits, exact in a double
 
 
-def row_hash(row_id, seed: int, salt: int = 0):
-    """Integer hash of a row id, identical in Spark and SQL (no overflow)."""
+def row_hash(row_id, seed: int, salt: int = 0, feature: str = "", keys: Sequence[str] = ()):
+    """Mixing hash of a cell: the leading hex digits of md5(seed|salt|feature|series|row id), which SQL evaluates alike.
+
+    Uniform over [0, HASH_MOD), independent between features, series and seeds, and without arithmetic on the id."""
     rid = F.col(row_id) if isinstance(row_id, str) else row_id
-    return ((rid * 48271 + (seed * 16807 + salt * 69621)) % HASH_MOD).cast("long")
+    series = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    cell = F.concat_ws("|", F.lit(f"{seed}|{salt}|{feature}"), *series, rid.cast("string"))
+    return F.conv(F.substring(F.md5(cell), 1, 13), 16, 10).cast("long")
 
 
 def smallest_k(df: DataFrame, by: Sequence[str], h: str, k_col: str, m_col: str, bound: int) -> DataFrame:
@@ -67,7 +71,7 @@ def inject_missing(sig: Signal, rate: float, seed: int = 42, row_id: str = "pos"
     """V9: blank exactly int(rate * m) valid cells per series."""
     f = _one_feature(sig)
     keys = list(sig.keys)
-    d = sig.df.withColumn("_h", F.when(F.col(f).isNotNull(), row_hash(row_id, seed)))
+    d = sig.df.withColumn("_h", F.when(F.col(f).isNotNull(), row_hash(row_id, seed, 0, f, keys)))
     st = d.groupBy(*keys).agg(F.count(f).alias("_m")) if keys else d.agg(F.count(f).alias("_m"))
     d = attach(d, st.withColumn("_k", F.floor(F.col("_m") * F.lit(rate)).cast("long")), keys,
                bound=sig.n_series + 1)
@@ -84,7 +88,7 @@ def inject_outliers(sig: Signal, rate: float, magnitude: float = 8.0, seed: int
     """Shift exactly int(rate * m) valid cells by +-magnitude * sample std (m >= 5)."""
     f = _one_feature(sig)
     keys = list(sig.keys)
-    d = sig.df.withColumn("_h", F.when(F.col(f).isNotNull(), row_hash(row_id, seed, 1)))
+    d = sig.df.withColumn("_h", F.when(F.col(f).isNotNull(), row_hash(row_id, seed, 1, f, keys)))
     st = (d.groupBy(*keys) if keys else d.groupBy()).agg(F.count(f).alias("_m"), F.stddev_samp(f).alias("_sd"))
     st = st.withColumn("_k", F.when(F.col("_m") >= 5, F.floor(F.col("_m") * F.lit(rate))).otherwise(0).cast("long"))
     st = st.withColumn("_sd", F.when((F.col("_sd") > 0), F.col("_sd")).otherwise(F.lit(1.0)))
@@ -92,7 +96,7 @@ def inject_outliers(sig: Signal, rate: float, magnitude: float = 8.0, seed: int
     v = d.where(F.col("_h").isNotNull())
     s = smallest_k(v, keys, "_h", "_k", "_m", sig.n_series + 1).select(*keys, "pos", "_sel")
     out = d.join(s, on=keys + ["pos"], how="left")
-    sign = F.when(row_hash(row_id, seed, 2) % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    sign = F.when(row_hash(row_id, seed, 2, f, keys) % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     out = out.withColumn(f, F.when(F.coalesce(F.col("_sel"), F.lit(False)),
                                    F.col(f) + sign * magnitude * F.col("_sd")).otherwise(F.col(f)))
     return sig.with_df(out.select(*sig.df.columns))

@@ -22,8 +22,9 @@ from .sequence import carry_valid
 
 # The six sub-score weights of the quality index per domain,
 # in the order completeness, continuity, plausibility, distribution,
-# stability, correlation.
-DEFAULT_WEIGHTS = (0.25, 0.20, 0.20, 0.15, 0.15, 0.05)
+# stability, correlation: those of the reading / cognitive domain, which domain
+# inference falls back to.  with_quality() rescores a profile for another one.
+DEFAULT_WEIGHTS = (0.24, 0.24, 0.16, 0.16, 0.12, 0.08)
 SUBSCORES = ("completeness", "continuity", "plausibility", "distribution", "stability", "correlation")
 
 

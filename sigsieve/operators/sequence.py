@@ -141,30 +141,20 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return j.select("*", *out_cols).drop(*drop)
 
 
-def drop_carry(df: DataFrame) -> DataFrame:
-    eng = [c for c in df.columns if c[:3] in ("_pv", "_nv", "_vr", "_ps") or (c.startswith("_m") and c[2:].isdigit())]
-    return df.drop(*eng)
-
-
-def halo_blocks(df: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
-    """Duplicate rows within ``radius`` positions of a block edge into the
-    neighbouring block (``_hb`` = block the copy belongs to, ``_own`` marks
-    the original).  Local filters then see complete neighbourhoods per block.
-    Needs ``_blk`` and ``pos``.
+def halo_blocks(df: DataFrame, keys: Sequence[str], radius: int, block_rows: int = 1 << 17) -> DataFrame:
+    """Deal a series into blocks of positions and copy the rows within ``radius``
+    of an edge into the neighbouring block (``_hb`` = block of the copy, ``_own``
+    marks the original).  Blocks are at least ``radius`` long, so one neighbour on
+    each side is enough and every original sees its whole neighbourhood, whatever
+    ``_blk`` is.  Needs ``pos`` (1, 2, ... in each series).
     """
-    keys = list(keys)
-    part = keys + ["_blk"]
-    ext = df.groupBy(*part).agg(F.min("pos").alias("_b0"), F.max("pos").alias("_b1"))
-    wb = Window.partitionBy(*keys).orderBy("_blk")
-    ext = ext.select(*part, "_b0", "_b1",
-                     F.lag("_blk").over(wb).alias("_pb"), F.lead("_blk").over(wb).alias("_nb"))
-    j = df.join(ext, on=part, how="inner")
+    size = max(int(block_rows), int(radius), 1)
+    blk = F.expr(f"div(pos - 1, {size})")
+    at = (F.col("pos") - 1) % size
     targets = F.array(
-        F.struct(F.col("_blk").alias("b"), F.lit(True).alias("own")),
-        F.when((F.col("pos") - F.col("_b0") < radius) & F.col("_pb").isNotNull(),
-               F.struct(F.col("_pb").alias("b"), F.lit(False).alias("own"))),
-        F.when((F.col("_b1") - F.col("pos") < radius) & F.col("_nb").isNotNull(),
-               F.struct(F.col("_nb").alias("b"), F.lit(False).alias("own"))),
+        F.struct(blk.alias("b"), F.lit(True).alias("own")),
+        F.when((at < radius) & (blk > 0), F.struct((blk - 1).alias("b"), F.lit(False).alias("own"))),
+        F.when(size - 1 - at < radius, F.struct((blk + 1).alias("b"), F.lit(False).alias("own"))),
     )
-    out = j.select("*", F.inline(F.filter(targets, lambda t: t.isNotNull())))
-    return out.withColumnRenamed("b", "_hb").withColumnRenamed("own", "_own").drop("_b0", "_b1", "_pb", "_nb")
+    out = df.select("*", F.inline(F.filter(targets, lambda t: t.isNotNull())))
+    return out.withColumnRenamed("b", "_hb").withColumnRenamed("own", "_own")

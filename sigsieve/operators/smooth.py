@@ -37,7 +37,7 @@ def savgol_matrix(window: int, poly: int) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
-def savgol(sig: Signal, window: int = 11, poly: int = 2) -> Signal:
+def savgol(sig: Signal, window: int = 11, poly: int = 2, block_rows: int = 1 << 17) -> Signal:
     """Savitzky-Golay smoothing (polynomial fit at the edges).  Series
     shorter than the window, or with gaps left, are returned unchanged."""
     w = int(window)
@@ -51,7 +51,7 @@ def savgol(sig: Signal, window: int = 11, poly: int = 2) -> Signal:
     keys = list(sig.keys)
     hm = savgol_matrix(w, poly)
     H = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in hm])
-    d = halo_blocks(sig0.df, keys, w - 1)
+    d = halo_blocks(sig0.df, keys, w - 1, block_rows)
     ws = Window.partitionBy(*keys, "_hb").orderBy("pos").rowsBetween(-(w - 1), w - 1)
     p0 = F.col("pos") - 1  # 0-based position
     n = F.col("_n")
@@ -68,7 +68,6 @@ def savgol(sig: Signal, window: int = 11, poly: int = 2) -> Signal:
         y = F.aggregate(F.sequence(F.lit(0), F.lit(w - 1)), F.lit(0.0),
                         lambda acc, j: acc + F.element_at(F.element_at(H, rr + 1), j + 1)
                         * F.element_at(F.col(f"_a{i}"), off + j + 1))
-        ok = (n >= w) & (F.size(F.col(f"_a{i}")) == F.least(n - 1, p0 + w - 1) - arr_start + 1)
-        new[c] = F.when(ok & F.col(c).isNotNull(), y).otherwise(F.col(c))
+        new[c] = F.when((n >= w) & F.col(c).isNotNull(), y).otherwise(F.col(c))  # no gaps are left, or nothing is
     out = d.select(*[new[c].alias(c) if c in new else F.col(c) for c in sig0.df.columns])
     return sig.with_df(out)

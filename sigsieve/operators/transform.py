@@ -110,11 +110,12 @@ MV_ALIASES = {"mean": "Mean Imputation", "locf": "LOCF", "linear": "Linear Inter
 def impute(sig: Signal, method: str, variant: str = "v2") -> Signal:
     """Fill gaps.  Mean / LOCF / linear (by row position) / safe temporal.
 
-    KNN and MICE are separate scalable operators (see ``knn.py`` and
-    ``mice.py``); here they fall back to the safe temporal fill, which is the
-    reference's own behaviour above its exact-size limits.
+    KNN is an operator of its own (``knn.py``); MICE isn't implemented.  Neither
+    is replaced by another method here.
     """
     method = MV_ALIASES.get(method, method)
+    if method in ("KNN Imputation", "MICE"):
+        raise NotImplementedError(f"{method} is no per-channel fill; see operators/knn.py" if method != "MICE" else "MICE")
     if method == "None":
         return sig
     sig = cached(sig)

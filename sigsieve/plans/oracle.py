@@ -161,7 +161,7 @@ def profile_select(keys, corr_expr: str = "0.0") -> str:
     {safe(corr_expr)} AS corr_mean_abs"""
 
 
-def quality_sql(weights=(0.25, 0.20, 0.20, 0.15, 0.15, 0.05), penalty: bool = True) -> tuple[str, dict]:
+def quality_sql(weights=(0.24, 0.24, 0.16, 0.16, 0.12, 0.08), penalty: bool = True) -> tuple[str, dict]:
     """Sub-scores and QI over a CTE with profile columns; returns (qi_expr, subscores)."""
     sc = {
         "completeness": f"100 * (1 - {clamp('missing_rate / 45.0')})",
@@ -209,7 +209,7 @@ corr AS (SELECT {k}f, coalesce(avg(CASE WHEN r IS NOT NULL AND NOT isnan(r) THEN
 
 
 def full_profile_sql(sig_cte: str, keys, features, with_corr: bool = True,
-                     weights=(0.25, 0.20, 0.20, 0.15, 0.15, 0.05), src: str = "sig", extras: bool = False) -> str:
+                     weights=(0.24, 0.24, 0.16, 0.16, 0.12, 0.08), src: str = "sig", extras: bool = False) -> str:
     long_src = src
     """WITH ... , profile AS (...): complete v2 profile rows incl. QI/label."""
     corr = corr_ctes(keys, features, src=src) if (with_corr and len(features) > 1) else None

@@ -151,7 +151,7 @@ def preset(sig: Signal, name: str) -> Signal:
         cur = _step(X.mask_outliers(cur, "MAD", variant="ev"))
         cur = _step(X.impute(cur, "Mean Imputation", variant="ev"))
         return X.scale(cur, "RobustScaler", variant="ev")
-    if name == "cirrus_recommended":
+    if name == "feature_wise":
         from .featurewise import featurewise_recommended
         return featurewise_recommended(sig)
     raise ValueError(name)

@@ -415,12 +415,6 @@ def q_spatial(spark, sf_dir):
     return finalize(SP.spatial_metrics(signal_wide(spark, sf_dir), "l_quantity", "l_extendedprice"))
 
 
-@query("phrase_complexity")
-def q_phrase(spark, sf_dir):
-    """Phrase-parse complexity of the cell sequence (rows-only check)."""
-    return finalize(SP.phrase_complexity(signal_wide(spark, sf_dir), "l_quantity", "l_extendedprice"))
-
-
 # ---------------------------------------------------------------------------
 # CSV ingest and typing (on a messy CSV export derived from events)
 # ---------------------------------------------------------------------------
@@ -647,4 +641,4 @@ def q_smooth_compare(spark, sf_dir):
         F.when(vb != 0, (1 - F.var_samp("s") / vb) * 100).alias("variance_reduction"),
         F.stddev_samp("s").alias("std_after")))
 
-_tx("featurewise_recommended", lambda s: PL.preset(s, "cirrus_recommended"))
+_tx("featurewise_recommended", lambda s: PL.preset(s, "feature_wise"))

@@ -78,7 +78,10 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     # (chooses the exact-quantile path)
     if keys:
         row = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(
-            F.sum("c").alias("n"), F.count(F.lit(1)).alias("s"), F.max("c").alias("mx")).first()
+            F.sum("c").alias("n"), F.count(F.lit(1)).alias("s"), F.max("c").alias("mx"),
+            F.count_if(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0).alias("nulls")).first()
+        if row["nulls"]:
+            raise ValueError(f"series keys {keys} hold NULL; name or drop those rows first")
     else:
         row = src.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("s"), F.count(F.lit(1)).alias("mx")).first()
     total, n_series, longest = int(row["n"] or 0), int(row["s"] or 0), int(row["mx"] or 0)

@@ -99,13 +99,13 @@ def coerce_numeric(df: DataFrame, threshold: float = 0.80, cols: Sequence[str] |
 
 
 def column_catalogue(df: DataFrame, min_numeric_ratio: float = 0.15, min_observed: float = 0.02,
-                     cap: int = 40, include_ids: bool = False) -> DataFrame:
+                     include_ids: bool = False) -> DataFrame:
     """T4-T8 (+T5, T6): one row per column with its typing and selection flags.
 
     numeric_ratio uses all rows as denominator (T4); id_like by the pattern
     list (T6); relevant by the word lists (T7, with fall-back to every numeric
-    column when none is relevant); eligible = numeric, observed share >= 2 %,
-    within the first ``cap`` by ordinal (T8)."""
+    column when none is relevant); eligible = numeric and an observed share of
+    2 % or more (T8)."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
@@ -134,12 +134,7 @@ def column_catalogue(df: DataFrame, min_numeric_ratio: float = 0.15, min_observe
         (F.lit(True) if include_ids else ~F.col("id_like"))
     cat = cat.withColumn("candidate", cand)
     cat = cat.withColumn("observed_ok", F.col("numeric_ratio") >= min_observed)
-    from pyspark.sql import Window
-    w = Window.orderBy("ordinal")  # catalogue = one row per column: tiny
-    sel = cat.where(F.col("candidate") & F.col("observed_ok")).select(
-        "column", F.row_number().over(w).alias("_rk"))
-    return cat.join(sel, on="column", how="left").withColumn(
-        "eligible", F.coalesce(F.col("_rk") <= cap, F.lit(False))).drop("_rk")
+    return cat.withColumn("eligible", F.col("candidate") & F.col("observed_ok"))
 
 
 def write_dirty_events_csv(spark: SparkSession, sf_dir: str) -> str:

@@ -14,11 +14,12 @@ from ..signal import Signal
 
 
 def processed_table(original: DataFrame, processed: Signal, on) -> DataFrame:
-    """IO6: all original columns, the selected channels replaced (join on key)."""
+    """IO6: all original columns, the selected channels replaced (join on key).  A row that was processed takes the
+    processed value also where that is NULL; a row that wasn't keeps its own."""
     on = list(on)
-    repl = processed.df.select(*on, *[F.col(f).alias(f"_new_{f}") for f in processed.features])
+    repl = processed.df.select(*on, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_new_{f}") for f in processed.features])
     j = original.join(repl, on=on, how="left")
-    return j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in processed.features else F.col(c)
+    return j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in processed.features else F.col(c)
                       for c in original.columns])
 
 

@@ -1,6 +1,7 @@
 """Operator tests on small fixtures: brute force and metamorphic checks."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigsieve.operators import evaluate as EV
@@ -68,11 +69,11 @@ def test_injected_missing_count_is_exact(spark):
 def test_savgol_blocks_equal_and_interior_is_convolution(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "event_id", "value")
     outs = []
-    for blocks in (1, 5):
+    for blocks, rows in ((1, 1 << 17), (7, 3), (64, 25)):
         sig = make_signal(ev, ["event_type"], ["event_id"], ["value"], n_blocks=blocks, checkpoint=False)
-        outs.append(savgol(sig, 11, 2).df.select("event_type", "pos", "value").toPandas()
+        outs.append(savgol(sig, 11, 2, block_rows=rows).df.select("event_type", "pos", "value").toPandas()
                     .sort_values(["event_type", "pos"]).reset_index(drop=True))
-    assert np.allclose(outs[0]["value"], outs[1]["value"])
+    assert np.allclose(outs[0]["value"], outs[1]["value"]) and np.allclose(outs[0]["value"], outs[2]["value"])
     raw = ev.toPandas().sort_values(["event_type", "event_id"])
     g = raw[raw.event_type == raw.event_type.iloc[0]]["value"].to_numpy()
     from sigsieve.operators.smooth import savgol_matrix
@@ -80,3 +81,43 @@ def test_savgol_blocks_equal_and_interior_is_convolution(spark):
     interior = np.convolve(g, kern[::-1], mode="valid")
     got = outs[0][outs[0].event_type == raw.event_type.iloc[0]]["value"].to_numpy()
     assert np.allclose(got[5:-5], interior)
+
+
+def test_injected_cells_spread_and_differ_between_channels(spark):
+    rows = spark.range(4000).selectExpr("id AS t", "cast(id % 2 AS string) AS k", "cast(id AS double) AS a", "cast(id AS double) AS b")
+    hit = {}
+    for f in ("a", "b"):
+        sig = make_signal(rows, ["k"], ["t"], [f], checkpoint=False)
+        out = EV.inject_missing(sig, 0.1, seed=42, row_id="pos").df
+        hit[f] = {(r.k, r.pos) for r in out.where(F.col(f).isNull()).collect()}
+        assert len(hit[f]) == 400
+        first_half = sum(p <= 1000 for _, p in hit[f])
+        assert 160 < first_half < 240  # 200 expected, 4 sigma
+    assert 15 < len(hit["a"] & hit["b"]) < 70  # 40 expected if independent
+    big = spark.createDataFrame([(2**62 + i, "x", float(i)) for i in range(50)], "t long, k string, a double")
+    sig = make_signal(big, ["k"], ["t"], ["a"], checkpoint=False)
+    assert EV.inject_missing(sig, 0.2, row_id="t").df.where("a IS NULL").count() == 10
+
+
+def test_null_series_keys_are_refused(spark):
+    df = spark.createDataFrame([("x", 1, 1.0), (None, 2, 2.0)], "k string, t long, v double")
+    with pytest.raises(ValueError, match="NULL"):
+        make_signal(df, ["k"], ["t"], ["v"], checkpoint=False)
+
+
+def test_processed_table_keeps_masked_cells_masked(spark):
+    from sigsieve.sources.sinks import processed_table
+    raw = spark.createDataFrame([("x", 1, 1.0), ("x", 2, 1000.0), ("y", 1, 3.0)], "k string, t long, v double")
+    sig = make_signal(raw.where("k = 'x'"), ["k"], ["t"], ["v"], checkpoint=False)
+    masked = sig.with_df(sig.df.withColumn("v", F.when(F.col("v") < 100, F.col("v") * 2)))
+    got = {(r.k, r.t): r.v for r in processed_table(raw, masked, ["k", "t"]).collect()}
+    assert got == {("x", 1): 2.0, ("x", 2): None, ("y", 1): 3.0}
+
+
+def test_unimplemented_fills_raise(spark):
+    from sigsieve.operators import transform as X
+    df = spark.createDataFrame([("x", 1, 1.0), ("x", 2, None)], "k string, t long, v double")
+    sig = make_signal(df, ["k"], ["t"], ["v"], checkpoint=False)
+    for method in ("MICE", "KNN Imputation"):
+        with pytest.raises(NotImplementedError):
+            X.impute(sig, method)
