@@ -161,6 +161,24 @@ def before_after(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Da
     return j.withColumn("qi_gain", F.col("quality_index_after") - F.col("quality_index_before"))
 
 
+def run_summary(before: Signal, masked: Signal, after: Signal, keys: Sequence[str]) -> DataFrame:
+    """V2: mean, std (sample before, population after), missing % before and after a run, and the share of rows that
+    outlier masking removed net of what imputation filled (below zero where filling outweighs it)."""
+    keys = list(keys)
+
+    def agg(sig: Signal, *aggs) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in sig.features])
+        return sig.df.select(*keys, F.inline(cells)).groupBy(*keys, "feature").agg(*aggs)
+
+    gaps = F.count_if(F.col("x").isNull()) * 100.0 / F.count(F.lit(1))
+    b = agg(before, F.avg("x").alias("mean_before"), F.stddev_samp("x").alias("std_before"), gaps.alias("missing_before"),
+            F.count("x").alias("_valid"), F.count(F.lit(1)).alias("_rows"))
+    m = agg(masked, F.count("x").alias("_masked"))
+    a = agg(after, F.avg("x").alias("mean_after"), F.stddev_pop("x").alias("std_after"), gaps.alias("missing_after"))
+    j = b.join(m, keys + ["feature"]).join(a, keys + ["feature"])
+    return j.withColumn("outliers_removed", (F.col("_valid") - F.col("_masked")) * 100.0 / F.col("_rows")).drop("_valid", "_masked", "_rows")
+
+
 def ground_truth(clean: Signal, processed: Signal, raw: Signal, align: Sequence[str]) -> DataFrame:
     """V3/V4: MAE / RMSE / Pearson of processed and raw against clean, per feature.
     ``align`` = key columns (sample id, or series + pos for row order)."""

@@ -336,6 +336,14 @@ from ..operators.stats_views import even_sample  # noqa: E402
 from ..sources.tables import WIDE_ORDER, signal_clean_wide  # noqa: E402
 
 
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    """V2: summary statistics before and after mean fill, z-score masking and standard scaling."""
+    raw = signal_wide(spark, sf_dir)
+    masked = X.mask_outliers(X.impute(raw, "Mean Imputation").materialize(), "Z-Score").materialize()
+    return finalize(EV.run_summary(raw, masked, X.scale(masked, "StandardScaler"), ["l_suppkey"]))
+
+
 @query("before_after")
 def q_before_after(spark, sf_dir):
     """V1: profile before and after the full pipeline, joined on feature."""
