@@ -73,6 +73,15 @@ def numeric_text(c, strip_units: bool = True, decimal_comma: bool = True) -> Col
     return F.when(~is_missing_token(x) & ok, s.cast("double"))
 
 
+def numeric_text_plain(c) -> Column:
+    """Text -> DOUBLE or NULL: trim, ',' -> '.', "-", "", "nan" and "None" are missing; a blank or a unit inside
+    leaves no number."""
+    x = F.col(c) if isinstance(c, str) else c
+    s = F.regexp_replace(F.trim(x), ",", ".")
+    ok = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return F.when(~s.isin("-", "", "nan", "None") & ok, s.cast("double"))
+
+
 def coerce_numeric(df: DataFrame, threshold: float = 0.80, cols: Sequence[str] | None = None):
     """Convert a text column when >= threshold of its non-missing cells parse.
     Returns (typed DataFrame, decisions DataFrame)."""
@@ -99,9 +108,10 @@ def coerce_numeric(df: DataFrame, threshold: float = 0.80, cols: Sequence[str] |
 
 
 def column_catalogue(df: DataFrame, min_numeric_ratio: float = 0.15, min_observed: float = 0.02,
-                     include_ids: bool = False) -> DataFrame:
+                     include_ids: bool = True) -> DataFrame:
     """T4-T8 (+T5, T6): one row per column with its typing and selection flags.
 
+    Names that look like ids are only marked, unless ``include_ids`` is off.
     numeric_ratio uses all rows as denominator (T4); id_like by the pattern
     list (T6); relevant by the word lists (T7, with fall-back to every numeric
     column when none is relevant); eligible = numeric and an observed share of
@@ -110,7 +120,7 @@ def column_catalogue(df: DataFrame, min_numeric_ratio: float = 0.15, min_observe
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
-        num = F.col(c).cast("double") if isinstance(dt, T.NumericType) else numeric_text(c, strip_units=False)
+        num = F.col(c).cast("double") if isinstance(dt, T.NumericType) else numeric_text_plain(c)
         aggs += [F.count(num).alias(f"_p{i}")]
     r = df.agg(*aggs).first()
     n = int(r["_n"])

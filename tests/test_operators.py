@@ -121,3 +121,16 @@ def test_unimplemented_fills_raise(spark):
     for method in ("MICE", "KNN Imputation"):
         with pytest.raises(NotImplementedError):
             X.impute(sig, method)
+
+
+def test_plain_coercion_and_catalogue_flags(spark):
+    from sigsieve.sources import csv_ingest as CI
+    cells = [("1,5", 1.5), (" 2.5 ", 2.5), ("1 234", None), ("12mm", None), ("-", None), ("", None), ("nan", None), ("1e3", 1000.0), ("1,2,3", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cells)], "i int, t string")
+    got = [r.v for r in df.select("i", CI.numeric_text_plain("t").alias("v")).orderBy("i").collect()]
+    assert got == [v for _, v in cells]
+    wide = spark.createDataFrame([tuple(str(i + j) for j in range(45)) for i in range(20)], ", ".join(f"`Pupil {j}` string" for j in range(45)))
+    cat = CI.column_catalogue(wide).collect()
+    assert len(cat) == 45 and all(r.relevant and r.eligible for r in cat)
+    assert CI.column_catalogue(wide.limit(0)).where("eligible").count() == 0
+
