@@ -66,7 +66,3 @@ def r6(c) -> Column:
     -0.0 into 0.0.  The SQL oracle uses the same expression.
     """
     return F.round(col(c) * F.lit(1e6) + F.lit(1e-4), 0) / F.lit(1e6) + F.lit(0.0)
-
-
-def r4(c) -> Column:
-    return F.round(col(c) * F.lit(1e4), 0) / F.lit(1e4) + F.lit(0.0)

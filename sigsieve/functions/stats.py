@@ -130,13 +130,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     return wide
 
 
-def long_values(df: DataFrame, keys: Sequence[str], features: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Unpivot features into (keys..., extra..., _f INT, _x DOUBLE)."""
-    keys = list(keys)
-    arr = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)])
-    return df.select(*keys, *extra, F.inline(arr)).withColumnRenamed("f", "_f").withColumnRenamed("x", "_x")
-
-
 def feature_name_col(features: Sequence[str], idx: Column | str = "_f") -> Column:
     """Map feature index -> name with a literal array (features is a short list)."""
     i = F.col(idx) if isinstance(idx, str) else idx

@@ -81,10 +81,6 @@ def _join_global(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", one).join(b.select("*", one), on="_one").drop("_one")
 
 
-def with_stats(sig: Signal, stats: DataFrame) -> DataFrame:
-    return attach(sig.df, stats, list(sig.keys), how="left", bound=sig.n_series + 1)
-
-
 def cached(sig: Signal) -> Signal:
     """Statistics are fitted eagerly (see ``series_stats``); rows stay lazy."""
     return sig

@@ -155,12 +155,3 @@ def preset(sig: Signal, name: str) -> Signal:
         from .featurewise import featurewise_recommended
         return featurewise_recommended(sig)
     raise ValueError(name)
-
-
-def stage_table(stage_list, keys) -> "DataFrame":  # noqa: F821
-    """Union of stages in long layout: keys, stage_no, stage, pos, features."""
-    out = None
-    for no, name, s in stage_list:
-        d = s.df.select(*keys, F.lit(no).alias("stage_no"), F.lit(name).alias("stage"), "pos", *s.features)
-        out = d if out is None else out.unionByName(d)
-    return out

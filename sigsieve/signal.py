@@ -92,7 +92,3 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
         from .session import materialize
         d = materialize(d)
     return Signal(d, tuple(keys), tuple(order), tuple(features), meta={"n_series": n_series, "n_rows": total, "max_series_rows": longest})
-
-
-def with_signal_pos(df: DataFrame, keys, order, n_blocks=None) -> DataFrame:
-    return with_pos(df, keys, order, n_blocks=n_blocks)
