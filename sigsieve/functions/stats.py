@@ -94,8 +94,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
         lambda e: e.isNotNull(),
     )
     rows = xb.select(*by, "_x", F.explode(inside).alias("_q"))
-    w = Window.partitionBy(*by, "_q").orderBy("_x")
-    ranked = rows.select(*by, "_q", "_x", F.row_number().over(w).alias("_r"))
+    # equal values are counted before they meet in one window, so a channel of few values ranks few rows
+    vals = rows.groupBy(*by, "_q", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by, "_q").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = vals.select(*by, "_q", "_x", F.sum("_c").over(w).alias("_r"), "_c")
 
     # target order statistics: t = p*(m-1); need v[floor(t)] and v[floor(t)+1]
     tg_structs = []
@@ -108,17 +110,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
     tg = below.select(*by, "_m", F.inline(F.array(*tg_structs))).persist()
     idx0 = F.col("_k") - F.col("_cb") + 1  # 1-based bracket index of v[k]
     j = ranked.join(tg.select(*by, "_q", "_k", "_cb"), on=by + ["_q"], how="inner")
-    j = j.where((F.col("_r") == idx0) | (F.col("_r") == idx0 + 1))
-    inb = j.groupBy(*by, "_q").agg(
-        F.max(F.when(F.col("_r") == idx0, F.col("_x"))).alias("_b0"),
-        F.max(F.when(F.col("_r") == idx0 + 1, F.col("_x"))).alias("_b1"),
-    )
+    # a value takes the ranks (_r - _c, _r]
+    at0, at1 = ((F.col("_r") >= i) & (F.col("_r") - F.col("_c") < i) for i in (idx0, idx0 + 1))
+    inb = j.where(at0 | at1).groupBy(*by, "_q").agg(
+        F.max(F.when(at0, F.col("_x"))).alias("_b0"), F.max(F.when(at1, F.col("_x"))).alias("_b1"))
     t2 = tg.join(inb, on=by + ["_q"], how="left")
 
     def pick(idx, inside_v):
         return (F.when((idx >= 1) & (idx <= F.col("_ci")), inside_v)
                 .when(idx == 0, F.col("_pv"))
-                .when(idx == F.col("_ci") + 1, F.col("_nx")))
+                .when(idx == F.col("_ci") + 1, F.col("_nx"))
+                .otherwise(F.raise_error(F.lit("quantile bracket missed; raise accuracy")).cast("double")))
 
     v0 = pick(idx0, F.col("_b0"))
     v1 = pick(idx0 + 1, F.col("_b1"))

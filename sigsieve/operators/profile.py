@@ -39,7 +39,7 @@ def long_carry(sig: Signal, prefix_sum: bool = False) -> DataFrame:
         if prefix_sum:
             s.append(F.col(f"_ps{i}").alias("_ps"))
         structs.append(F.struct(*s))
-    return d.select(*keys, "_blk", "pos", "_n", F.inline(F.array(*structs)))
+    return d.select(*keys, "pos", "_n", F.inline(F.array(*structs)))
 
 
 def _moments(x: str = "_x") -> list[Column]:

@@ -1,16 +1,17 @@
-"""Order-dependent work without one task per series: the block-carry kernel.
-
-A series may hold a third of all rows, so no window ever partitions row data
-by the series key alone.  Rows are cut into blocks by literal boundaries of
-the first order column (``approxQuantile`` once, so a recompute after a lost
-executor gives the same blocks).  All windows run per ``(series, block)``;
-what crosses a block edge (row offset, last/first valid value, valid count,
-prefix sum) comes from a per-block summary of #blocks rows, windowed over
-blocks and joined back on ``(series, block)``, the partitioning the row data
-already has, so the big side is shuffled once.
-
-Signals carry four engine columns: ``_blk`` (block id), ``pos`` (1-based row
-position in its series), ``_n`` (series length) and the user's columns.
+"""Order-dependent work without one task per long series: the block-carry kernel.
+
+A series of up to ``ROWS_PER_BLOCK`` rows is one block: a window keyed by the
+series, with no summary and no join.  A longer series (one may hold a third of
+all rows) is cut by literal boundaries of the first order column
+(``approxQuantile`` once over the long series, so a recompute after a lost
+executor gives the same blocks); a row finds its block by binary search.  All
+windows then run per ``(series, block)``; what crosses a block edge (row offset,
+last/first valid value, valid count, prefix sum) comes from a per-block summary,
+windowed over blocks and joined back on ``(series, block)``, the partitioning
+the row data already has, so the big side is shuffled once.
+
+Signals carry ``pos`` (1-based row position in its series), ``_n`` (series
+length), ``_blk`` (block, only where a series was cut) and the user's columns.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stats import attach
+
 ROWS_PER_BLOCK = 4_000_000
 _UNB = Window.unboundedPreceding
 _UNF = Window.unboundedFollowing
@@ -47,27 +51,37 @@ def block_splits(df: DataFrame, order_col: str, n_blocks: int) -> list[float]:
     return sorted({q for q in qs if q is not None and not math.isnan(q)})
 
 
-def block_expr(key: Column, splits: Sequence[float]) -> Column:
-    """Block id = number of boundaries <= key (monotone in the order key)."""
-    if not splits:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(s)) for s in splits])
-    return F.size(F.filter(arr, lambda s: s <= key)).cast("int")
+def add_blocks(df: DataFrame, order_col: str, splits: Sequence[float], keys: Sequence[str],
+               long_series: DataFrame | None = None, bound: int = 0) -> DataFrame:
+    """Add ``_blk`` = number of boundaries <= the order key, by binary search in
+    the JVM.  With ``long_series`` (one row per series to cut, at most ``bound``)
+    all other series stay in block 0.  A NULL key sorts first, NaN last."""
+    inf = float("inf")
+    key = F.coalesce(_order_key(df, order_col), F.lit(-inf))
+    cut = Bucketizer(splits=[-inf, *splits, inf], inputCol="_ok", outputCol="_blk", handleInvalid="keep")
+    x = cut.transform(df.withColumn("_ok", key)).drop("_ok").withColumn("_blk", F.col("_blk").cast("int"))
+    if long_series is None or not keys:
+        return x
+    flagged = attach(x, long_series.select(*keys, F.lit(True).alias("_long")), keys, how="left", bound=bound)
+    return flagged.withColumn("_blk", F.when(F.col("_long"), F.col("_blk")).otherwise(0)).drop("_long")
 
 
-def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_blocks: int | None = None,
-             rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Add ``_blk``, ``pos`` (1-based, dense per series) and ``_n``.
+def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_blocks: int = 1,
+             long_series: DataFrame | None = None, bound: int = 0) -> DataFrame:
+    """Add ``pos`` (1-based, dense per series), ``_n`` and, if series are cut, ``_blk``.
 
     ``order`` must be unique within a series (as in the reference, where row
-    order is the file order).
+    order is the file order).  ``n_blocks`` > 1 cuts the series named in
+    ``long_series`` (all of them without it).
     """
     keys, order = list(keys), list(order)
-    if n_blocks is None:
-        total = df.count()
-        n_blocks = max(1, math.ceil(total / rows_per_block))
-    splits = block_splits(df, order[0], n_blocks)
-    x = df.withColumn("_blk", block_expr(_order_key(df, order[0]), splits))
+    cut = df if long_series is None or not keys else attach(df, long_series, keys, how="left_semi", bound=bound)
+    splits = block_splits(cut, order[0], n_blocks)
+    if not splits:
+        w = Window.partitionBy(*keys)
+        return df.select("*", F.row_number().over(w.orderBy(*order)).cast("long").alias("pos"),
+                         F.count(F.lit(1)).over(w).alias("_n"))
+    x = add_blocks(df, order[0], splits, keys, long_series, bound)
     part = keys + ["_blk"]
     w = Window.partitionBy(*part).orderBy(*order)
     local = x.withColumn("_rn", F.row_number().over(w))
@@ -91,10 +105,11 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     ``_vr{i}``  valid rows at or before this row (rank in the compacted series)
     ``_m{i}``   valid rows in the series
     ``_ps{i}``  (optional) prefix sum of valid values at or before this row
-    Needs ``_blk`` and ``pos`` (see ``with_pos``).
+    Needs ``pos`` and, where series were cut, ``_blk`` (see ``with_pos``).
     """
     keys = list(keys)
-    part = keys + ["_blk"]
+    blocked = "_blk" in df.columns
+    part = keys + (["_blk"] if blocked else [])
     w = Window.partitionBy(*part).orderBy("pos")
     # "next valid" uses a descending order with an unbounded-preceding frame:
     # Spark re-aggregates unbounded-following frames per row (O(n^2)).
@@ -114,6 +129,8 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
             local_cols.append(F.sum(F.col(c).cast("double")).over(w_cum).alias(f"_ls{i}"))
             summ_aggs.append(F.sum(F.col(c).cast("double")).alias(f"_bs{i}"))
     local = df.select("*", *local_cols)
+    if not blocked:
+        return _whole_series(local, keys, features, prefix_sum)
     summ = df.groupBy(*part).agg(*summ_aggs)
     wb = Window.partitionBy(*keys).orderBy("_blk")
     wbd = Window.partitionBy(*keys).orderBy(F.col("_blk").desc())
@@ -141,6 +158,20 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     return j.select("*", *out_cols).drop(*drop)
 
 
+def _whole_series(local: DataFrame, keys: list[str], features: Sequence[str], prefix_sum: bool) -> DataFrame:
+    """``carry_valid`` where a series is one block: the local state is all there is."""
+    ws = Window.partitionBy(*keys)
+    out, drop = [], []
+    for i, c in enumerate(features):
+        out += [F.col(f"_lp{i}").alias(f"_pv{i}"), F.col(f"_ln{i}").alias(f"_nv{i}"),
+                F.col(f"_lc{i}").alias(f"_vr{i}"), F.count(c).over(ws).alias(f"_m{i}")]
+        drop += [f"_lp{i}", f"_ln{i}", f"_lc{i}"]
+        if prefix_sum:
+            out.append(F.coalesce(F.col(f"_ls{i}"), F.lit(0.0)).alias(f"_ps{i}"))
+            drop.append(f"_ls{i}")
+    return local.select("*", *out).drop(*drop)
+
+
 def halo_blocks(df: DataFrame, keys: Sequence[str], radius: int, block_rows: int = 1 << 17) -> DataFrame:
     """Deal a series into blocks of positions and copy the rows within ``radius``
     of an edge into the neighbouring block (``_hb`` = block of the copy, ``_own``

@@ -76,8 +76,9 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     # one small job: rows, number of series (size bound of every per-series
     # statistics table, used for checked broadcasts) and the longest series
     # (chooses the exact-quantile path)
+    per_series = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
     if keys:
-        row = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(
+        row = per_series.agg(
             F.sum("c").alias("n"), F.count(F.lit(1)).alias("s"), F.max("c").alias("mx"),
             F.count_if(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) > 0).alias("nulls")).first()
         if row["nulls"]:
@@ -85,9 +86,12 @@ def make_signal(df: DataFrame, keys: Sequence[str], order: Sequence[str], featur
     else:
         row = src.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("s"), F.count(F.lit(1)).alias("mx")).first()
     total, n_series, longest = int(row["n"] or 0), int(row["s"] or 0), int(row["mx"] or 0)
+    long_series = None
     if n_blocks is None:
-        n_blocks = max(1, -(-total // ROWS_PER_BLOCK))
-    d = with_pos(src, keys, order, n_blocks=n_blocks)
+        # only series beyond one block are cut; there are fewer than rows / block of them
+        n_blocks = 1 if longest <= ROWS_PER_BLOCK else -(-total // ROWS_PER_BLOCK)
+        long_series = per_series.where(F.col("c") > ROWS_PER_BLOCK).select(*keys) if keys and n_blocks > 1 else None
+    d = with_pos(src, keys, order, n_blocks, long_series, bound=total // ROWS_PER_BLOCK + 1)
     if checkpoint:
         from .session import materialize
         d = materialize(d)

@@ -78,6 +78,7 @@ def test_no_single_partition_exchange_on_rows(spark):
     df = _series(spark, keys=False)
     sig = make_signal(df.drop("k"), [], ["t"], ["v"], n_blocks=4, checkpoint=False)
     plan = X.impute(sig, "LOCF").df._jdf.queryExecution().executedPlan().toString()
+    assert "_blk" in sig.df.columns
     # a single-partition exchange may only gather per-block aggregates, never rows
     lines = plan.splitlines()
     for i, line in enumerate(lines):
@@ -93,3 +94,16 @@ def test_scan_prunes_unused_columns(spark):
     assert "ReadSchema" in plan and "l_shipdate" not in plan and "l_comment" not in plan
     assert "GreaterThan(l_quantity,1.0)" in plan  # filter pushed into the parquet scan
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_only_long_series_are_cut(spark, monkeypatch):
+    import sigsieve.signal as S
+    monkeypatch.setattr(S, "ROWS_PER_BLOCK", 100)
+    df = _series(spark).union(spark.range(40).selectExpr("'short'", "id * 37", "if(id % 4 = 1, NULL, double(id))"))
+    sig = make_signal(df, ["k"], ["t"], ["v"])
+    blocks = {r["k"]: r["b"] for r in sig.df.groupBy("k").agg(F.countDistinct("_blk").alias("b")).collect()}
+    assert blocks["short"] == 1 and blocks["a"] > 4 and blocks["b"] > 4
+    got = X.impute(sig, "LOCF").df.select("k", "t", "pos", "v").toPandas().sort_values(["k", "t"])
+    for k, g in df.toPandas().sort_values(["k", "t"]).groupby("k"):
+        assert np.allclose(got[got.k == k]["v"].to_numpy(), g["v"].ffill().bfill().to_numpy())
+        assert list(got[got.k == k]["pos"]) == list(range(1, len(g) + 1))
