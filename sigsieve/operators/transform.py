@@ -81,11 +81,6 @@ def _join_global(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("*", one).join(b.select("*", one), on="_one").drop("_one")
 
 
-def cached(sig: Signal) -> Signal:
-    """Statistics are fitted eagerly (see ``series_stats``); rows stay lazy."""
-    return sig
-
-
 def _finish(sig: Signal, df: DataFrame, new_cols: dict[str, Column]) -> Signal:
     keep = [c for c in sig.df.columns]
     out = df.select(*[new_cols[c].alias(c) if c in new_cols else F.col(c) for c in keep])
@@ -106,19 +101,22 @@ MV_ALIASES = {"mean": "Mean Imputation", "locf": "LOCF", "linear": "Linear Inter
 def impute(sig: Signal, method: str, variant: str = "v2") -> Signal:
     """Fill gaps.  Mean / LOCF / linear (by row position) / safe temporal.
 
-    KNN is an operator of its own (``knn.py``); MICE isn't implemented.  Neither
-    is replaced by another method here.
+    KNN and MICE use the other channels (``knn.py``, ``mice.py``), the rest fill
+    each channel by itself.
     """
     method = MV_ALIASES.get(method, method)
-    if method in ("KNN Imputation", "MICE"):
-        raise NotImplementedError(f"{method} is no per-channel fill; see operators/knn.py" if method != "MICE" else "MICE")
     if method == "None":
         return sig
-    sig = cached(sig)
+    if method == "KNN Imputation":
+        from .knn import knn_impute
+        return knn_impute(sig)
+    if method == "MICE":
+        from .mice import mice_impute
+        return mice_impute(sig)
     feats = list(sig.features)
-    need_carry = method in ("LOCF", "Linear Interpolation", "KNN Imputation", "MICE")
-    need_mean = method == "Mean Imputation" or (variant == "ev" and method in ("LOCF", "Linear Interpolation"))
-    need_med = method in ("Linear Interpolation", "KNN Imputation", "MICE") and variant == "v2"
+    need_carry = method in ("LOCF", "Linear Interpolation")
+    need_mean = method == "Mean Imputation" or (variant == "ev" and need_carry)
+    need_med = method == "Linear Interpolation" and variant == "v2"
     df = sig.df
     if need_carry:
         df = carry_valid(df, list(sig.keys), feats)
@@ -138,7 +136,9 @@ def impute(sig: Signal, method: str, variant: str = "v2") -> Signal:
                 new[c] = F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"), s("_mean", i))
             else:
                 new[c] = F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"))
-        else:  # linear interpolation by row position (and the KNN/MICE fallback)
+        elif method != "Linear Interpolation":
+            raise ValueError(method)
+        else:  # linear interpolation by row position
             p0, v0 = F.col(f"_pv{i}.p"), F.col(f"_pv{i}.v")
             p1, v1 = F.col(f"_nv{i}.p"), F.col(f"_nv{i}.v")
             inner = v0 + (v1 - v0) * (F.col("pos") - p0) / (p1 - p0)
@@ -160,14 +160,13 @@ OUT_ALIASES = {"zscore": "Z-Score", "iqr": "IQR", "mad": "MAD", "winsor": "Winso
 
 
 def mask_outliers(sig: Signal, method: str, z_thresh: float = 3.0, iqr_factor: float = 1.5,
-                  mad_thresh: float = 3.5, winsor_q: float = 0.02, variant: str = "v2") -> Signal:
+                  mad_thresh: float = 3.5, winsor_q: float = 0.02, variant: str = "v2", contamination: float = 0.05) -> Signal:
     method = OUT_ALIASES.get(method, method)
     if method == "None":
         return sig
     if method == "Isolation Forest":
         from .isoforest import isolation_forest_mask
-        return isolation_forest_mask(sig)
-    sig = cached(sig)
+        return isolation_forest_mask(sig, contamination)
     feats = list(sig.features)
     q = None
     if method == "IQR":
@@ -224,7 +223,6 @@ def scale(sig: Signal, method: str, variant: str = "v2") -> Signal:
     method = NORM_ALIASES.get(method, method)
     if method == "None":
         return sig
-    sig = cached(sig)
     feats = list(sig.features)
     keys = list(sig.keys)
     if variant == "ev":

@@ -53,7 +53,7 @@ def _out(sig: Signal, method: str, st: Settings) -> Signal:
 
 def _out0(sig: Signal, method: str, st: Settings) -> Signal:
     return X.mask_outliers(sig, method, z_thresh=st.z_thresh, iqr_factor=st.iqr_factor, mad_thresh=st.mad_thresh,
-                           winsor_q=st.winsor_q)
+                           winsor_q=st.winsor_q, contamination=st.if_contamination)
 
 
 def _mv(sig: Signal, method: str, st: Settings) -> Signal:
@@ -94,8 +94,7 @@ def smooth(sig: Signal, method: str, st: Settings = DEFAULT) -> Signal:
         from ..operators.spectral import butterworth
         return butterworth(sig, cutoff=st.filter_cutoff, fs=st.sampling_rate, order=3)
     if method == "Fourier":
-        from ..operators.spectral import fourier_lowpass
-        return fourier_lowpass(sig, keep_ratio=st.fourier_keep_ratio)
+        raise NotImplementedError("Fourier smoothing needs a distributed transform of a whole series")
     raise ValueError(method)
 
 

@@ -138,6 +138,10 @@ _tx("scale_robust", lambda s: X.scale(s, "RobustScaler"))
 _tx("scale_minmax", lambda s: X.scale(s, "MinMaxScaler"))
 _tx("scale_standard_ev", lambda s: X.scale(s, "StandardScaler", variant="ev"))
 _tx("clip_limits", lambda s: X.clip(s, 0.02, 45.0))
+_tx("mice_fill", lambda s: X.impute(s, "MICE"))
+_tx("isolation_forest_mask", lambda s: X.mask_outliers(s, "Isolation Forest"))
+_tx("butterworth", lambda s: PL.smooth(s, "Butterworth"))
+_tx("pipeline_mice_forest", lambda s: PL.run_pipeline(s, "MICE", "Isolation Forest", "StandardScaler", "Butterworth"))
 _tx("clean_mv_first", lambda s: PL.cleaning_stage(s, "LOCF", "IQR"))
 _tx("clean_outlier_first", lambda s: PL.cleaning_stage(s, "None", "MAD", PL.Settings(operation_order=PL.OUT_FIRST)))
 _tx("pipeline_full", lambda s: PL.run_pipeline(s, "Linear Interpolation", "MAD", "RobustScaler"))
