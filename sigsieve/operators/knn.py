@@ -1,19 +1,18 @@
 """Exact KNN imputation (M5) without pair rows.
 
 Donors of a receiver are the rows of the same series that have the target
-feature.  Receivers (rows with a gap) go out in bounded chunks as a broadcast
-variable; every donor partition computes NaN-aware Euclidean distances
-(scaled by the share of shared coordinates) in NumPy inside ``mapInPandas``
-and emits only its k best donors per (receiver, feature).  A second step
+feature.  Receivers (rows with a gap) and donors are dealt by hash into bounded
+chunks; each group holds one chunk of receivers and one of donors, computes
+NaN-aware Euclidean distances (scaled by the share of shared coordinates) in
+NumPy and emits only its k best donors per (receiver, feature).  A second step
 merges those short lists: k smallest by (distance, donor position), mean of
-their values.  Receivers with no defined distance get the series mean.
-Shuffle volume is partitions x receivers x k, never receivers x donors.
+their values.  Receivers with no defined distance get the series mean.  Nothing
+passes the driver.  Exact KNN stays receivers x donors work inside a series:
+every donor chunk is sent once per receiver chunk of its series.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -22,82 +21,64 @@ from pyspark.sql import functions as F
 from ..functions.stats import attach
 from ..signal import Signal
 
-CHUNK_ROWS = 100_000
+# rows of a group: at most about 1,024 x 8,192 distances (64 MB) per array
+RECEIVER_ROWS = 1024
+DONOR_ROWS = 8192
 
 
-def _topk_fn(keys, feats, k, bc):
-    nf = len(feats)
+def _k_best(keys, feats, k):
+    """(receivers, donors) of one group -> the k best donors per receiver and feature."""
+    names = keys + ["pos", "_f", "_d", "_dp", "_v"]
 
-    def fn(it):
-        rec_all = bc.value
-        groups = {kk: g for kk, g in rec_all.groupby(keys, sort=False)} if keys else {(): rec_all}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            dgroups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
-            outs = []
-            for gk, dg in dgroups:
-                gk = gk if isinstance(gk, tuple) else (gk,)
-                rg = groups.get(gk if keys else ())
-                if rg is None or rg.empty:
-                    continue
-                R = rg[feats].to_numpy(dtype=float)
-                D = dg[feats].to_numpy(dtype=float)
-                rpos = rg["pos"].to_numpy()
-                dpos = dg["pos"].to_numpy()
-                mr, md = ~np.isnan(R), ~np.isnan(D)
-                common = mr.astype(float) @ md.T.astype(float)
-                diff = R[:, None, :] - D[None, :, :]
-                sq = np.nansum(np.where(mr[:, None, :] & md[None, :, :], diff * diff, 0.0), axis=2)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(common > 0, np.sqrt(nf / common * sq), np.inf)
-                for j in range(nf):
-                    ri = np.where(~mr[:, j])[0]
-                    di = np.where(md[:, j])[0]
-                    if len(ri) == 0 or len(di) == 0:
-                        continue
-                    sub = dist[np.ix_(ri, di)]
-                    for a, r in enumerate(ri):
-                        row = sub[a]
-                        ok = np.isfinite(row)
-                        if not ok.any():
-                            continue
-                        cand = di[ok]
-                        dv = row[ok]
-                        order = np.lexsort((dpos[cand], dv))[:k]
-                        sel = cand[order]
-                        o = pd.DataFrame({"pos": rpos[r], "_f": j, "_d": dv[order], "_dp": dpos[sel],
-                                          "_v": D[sel, j]})
-                        for ki, kname in enumerate(keys):
-                            o[kname] = gk[ki]
-                        outs.append(o)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+    def fn(rec: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
+        if rec.empty or don.empty:
+            return rec.assign(_f=0, _d=0.0, _dp=0, _v=0.0)[names].iloc[:0]
+        don = don.sort_values("pos")  # ties go to the first position
+        r, d = rec[feats].to_numpy(dtype=float), don[feats].to_numpy(dtype=float)
+        has_r, has_d = ~np.isnan(r), ~np.isnan(d)
+        r, d = np.where(has_r, r, 0.0), np.where(has_d, d, 0.0)
+        shared = has_r.astype(float) @ has_d.T.astype(float)
+        sq = np.zeros(shared.shape)
+        for j in range(len(feats)):
+            sq += ((r[:, None, j] - d[None, :, j]) * (has_r[:, None, j] & has_d[None, :, j])) ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(shared > 0, np.sqrt(len(feats) / shared * sq), np.inf)
+        rpos, dpos = rec["pos"].to_numpy(), don["pos"].to_numpy()
+        outs = []
+        for j in range(len(feats)):
+            ri, di = np.flatnonzero(~has_r[:, j]), np.flatnonzero(has_d[:, j])
+            sub = dist[np.ix_(ri, di)]
+            best = np.argsort(sub, axis=1, kind="stable")[:, :k]
+            dv = np.take_along_axis(sub, best, axis=1)
+            row, col = np.nonzero(np.isfinite(dv))
+            sel = di[best[row, col]]
+            outs.append(pd.DataFrame({"pos": rpos[ri[row]], "_f": j, "_d": dv[row, col], "_dp": dpos[sel], "_v": d[sel, j]}))
+        out = pd.concat(outs, ignore_index=True)
+        return out.assign(**{c: rec[c].iloc[0] for c in keys})[names]
     return fn
 
 
-def knn_impute(sig: Signal, k: int = 5, chunk_rows: int = CHUNK_ROWS) -> Signal:
+def knn_impute(sig: Signal, k: int = 5, receiver_rows: int = RECEIVER_ROWS, donor_rows: int = DONOR_ROWS) -> Signal:
     keys, feats = list(sig.keys), list(sig.features)
-    spark = sig.df.sparkSession
     gap = F.lit(False)
     for f in feats:
         gap = gap | F.col(f).isNull()
-    rec = sig.df.where(gap).select(*keys, "pos", *feats)
-    n_rec = rec.count()
-    if n_rec == 0:
-        return sig
-    n_chunks = max(1, math.ceil(n_rec / chunk_rows))
-    rec = rec.withColumn("_ch", F.pmod(F.xxhash64("pos", *keys), F.lit(n_chunks)))
-    donors = sig.df.select(*keys, "pos", *feats)
-    kschema = [f"{f.name} {f.dataType.simpleString()}" for f in sig.df.schema.fields if f.name in keys]
-    schema = ", ".join(kschema + ["pos long", "_f int", "_d double", "_dp long", "_v double"])
-    cands = None
-    for c in range(n_chunks):
-        chunk = rec.where(F.col("_ch") == c).drop("_ch").toPandas()  # bounded: <= chunk_rows rows
-        bc = spark.sparkContext.broadcast(chunk)
-        part = donors.mapInPandas(_topk_fn(keys, feats, k, bc), schema=schema)
-        cands = part if cands is None else cands.unionByName(part)
-    # merge per (receiver, feature): at most partitions x k candidates
+    sizes = sig.df.groupBy(*keys).agg(F.count_if(gap).alias("_nr"), F.count(F.lit(1)).alias("_nd"))
+    sizes = sizes.select(*keys, F.ceil(F.col("_nr") / receiver_rows).cast("int").alias("_rc"),
+                         F.ceil(F.col("_nd") / donor_rows).cast("int").alias("_dc")).where("_rc > 0")
+    rows = attach(sig.df.select(*keys, "pos", *feats), sizes, keys, how="inner", bound=sig.n_series + 1)
+    h = F.xxhash64("pos")
+    cols = [*keys, "pos", *feats]
+    rec = rows.where(gap).select(*cols, F.pmod(h, F.col("_rc")).cast("int").alias("_c"),
+                                 F.explode(F.sequence(F.lit(0), F.col("_dc") - 1)).alias("_b"))
+    # new names for the columns, so that the two sides of one table stay apart
+    don = rows.select(*[F.col(c).alias(c) for c in cols], F.pmod(h, F.col("_dc")).cast("int").alias("_b"),
+                      F.explode(F.sequence(F.lit(0), F.col("_rc") - 1)).alias("_c"))
+    kschema = [f"`{f.name}` {f.dataType.simpleString()}" for f in sig.df.schema.fields if f.name in keys]
+    part = keys + ["_c", "_b"]
+    cands = rec.groupBy(*part).cogroup(don.groupBy(*part)).applyInPandas(
+        _k_best(keys, feats, k), ", ".join(kschema + ["pos long", "_f int", "_d double", "_dp long", "_v double"]))
+    # merge per (receiver, feature): at most donor chunks x k candidates
     w = Window.partitionBy(*keys, "pos", "_f").orderBy("_d", "_dp")
     top = cands.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k)
     fill = top.groupBy(*keys, "pos").agg(*[F.avg(F.when(F.col("_f") == j, F.col("_v"))).alias(f"_knn{j}")

@@ -175,13 +175,14 @@ def mask_outliers(sig: Signal, method: str, z_thresh: float = 3.0, iqr_factor: f
         q = {"_wlo": winsor_q, "_whi": 1 - winsor_q}
     st = series_stats(sig, moments=True, quantiles=q, mad=(method == "MAD"))
     df = attach(sig.df, st, list(sig.keys), how="left", bound=sig.n_series + 1)
-    min_m = 5 if variant == "ev" else (4 if method in ("IQR", "MAD") else 0)
+    min_m = {"ev": 5, "v1": 1}.get(variant, 4 if method in ("IQR", "MAD") else 0)
     new = {}
     for i, c in enumerate(feats):
         x = F.col(c)
         enough = s("_m", i) >= min_m
         if method == "Z-Score":
-            sd = s("_sdp", i) if variant == "v1" else s("_sd", i)
+            # v1 fills with the mean first: the same squares over all rows
+            sd = s("_sdp", i) * F.sqrt(s("_m", i) / F.col("_n")) if variant == "v1" else s("_sd", i)
             bad = enough & (sd > 0) & (F.abs((x - s("_mean", i)) / sd) > z_thresh)
         elif method == "IQR":
             iqr = s("_q3", i) - s("_q1", i)

@@ -123,13 +123,15 @@ class Chain:
         q = {"_q1": 0.25, "_q3": 0.75} if method == "IQR" else (
             {"_wlo": winsor_q, "_whi": 1 - winsor_q} if method == "Winsorization" else None)
         st = self.stats(self.cur, quantiles=q, mad=(method == "MAD"))
-        min_m = 5 if variant == "ev" else (4 if method in ("IQR", "MAD") else 0)
+        if variant == "v1" and method == "Z-Score":
+            return self._zscore_filled(z)
+        min_m = 5 if variant == "ev" else (0 if variant == "v1" or method not in ("IQR", "MAD") else 4)
         ex = {}
         for i, f in enumerate(self.feats):
             x = f"c.{f}"
             en = f"s._m__{i} >= {min_m}"
             if method == "Z-Score":
-                sd = f"s._sdp__{i}" if variant == "v1" else f"s._sd__{i}"
+                sd = f"s._sd__{i}"
                 bad = f"{en} AND {sd} > 0 AND abs(({x} - s._mean__{i}) / {sd}) > {z}"
             elif method == "IQR":
                 iqr = f"(s._q3__{i} - s._q1__{i})"
@@ -149,6 +151,16 @@ class Chain:
             ex[i] = f"CASE WHEN coalesce({bad}, FALSE) THEN NULL ELSE {x} END"
         self.project(self.cur, st, ex)
 
+    def _zscore_filled(self, z):
+        """First app: score every value against the mean-filled channel, blank it there and keep other gaps."""
+        m = self.stats(self.cur)
+        fl = self.name("fl")
+        f2 = ", ".join(f"coalesce(c.{f}, s._mean__{i}) AS {f}" for i, f in enumerate(self.feats))
+        self.add(f"{fl} AS (SELECT {kc(self.keys, 'c.')}c.pos, {f2} FROM {self.cur} c LEFT JOIN {m} s ON {on('c', 's', self.keys)})")
+        st = self.stats(fl)
+        self.project(self.cur, st, {i: f"CASE WHEN s._sdp__{i} > 0 AND abs(c.{f} - s._mean__{i}) > {z} * s._sdp__{i} "
+                                       f"THEN NULL ELSE c.{f} END" for i, f in enumerate(self.feats)})
+
     def clip(self, lo, hi):
         ex = {i: f"CASE WHEN c.{f} IS NULL THEN NULL ELSE greatest({lo}, least({hi}, c.{f})) END"
               for i, f in enumerate(self.feats)}

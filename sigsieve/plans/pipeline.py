@@ -108,6 +108,16 @@ def run_pipeline(sig: Signal, mv: str, out: str, norm: str, smooth_method: str =
     return cur
 
 
+def first_app(sig: Signal, mv: str, feature: str, out: str, norm: str) -> Signal:
+    """The first app's run: fill all channels, then mask, hold forward and
+    scale the chosen one (its 5 % winsor and 10 % forest shares)."""
+    cur = _step(X.impute(sig, mv, variant="v1"))
+    one = cur.select_features([feature])
+    one = X.mask_outliers(one, out, variant="v1", winsor_q=0.05, contamination=0.10)
+    one = X.scale(_step(X.impute(one, "LOCF", variant="v1")), norm)
+    return one.select_features(sig.features)
+
+
 def stages(sig: Signal, mv: str, out: str, norm: str, smooth_method: str = "None",
            st: Settings = DEFAULT) -> list[tuple[int, str, Signal]]:
     """C4: named intermediate stages (Raw, 1, 2, [2b], 3, 4)."""

@@ -132,6 +132,11 @@ _tx("zscore_mask", lambda s: X.mask_outliers(s, "Z-Score"))
 _tx("iqr_mask", lambda s: X.mask_outliers(s, "IQR"))
 _tx("mad_mask", lambda s: X.mask_outliers(s, "MAD"))
 _tx("mad_mask_ev", lambda s: X.mask_outliers(s, "MAD", variant="ev"))
+_tx("zscore_mask_v1", lambda s: X.mask_outliers(s, "Z-Score", variant="v1"))
+_tx("iqr_mask_v1", lambda s: X.mask_outliers(s, "IQR", variant="v1"))
+_tx("mad_mask_v1", lambda s: X.mask_outliers(s, "MAD", variant="v1"))
+_tx("linear_fill_v1", lambda s: X.impute(s, "Linear Interpolation", variant="v1"))
+_tx("first_app", lambda s: PL.first_app(s, "LOCF", "l_extendedprice", "IQR", "RobustScaler"))
 _tx("winsorize", lambda s: X.mask_outliers(s, "Winsorization"))
 _tx("scale_standard", lambda s: X.scale(s, "StandardScaler"))
 _tx("scale_robust", lambda s: X.scale(s, "RobustScaler"))

@@ -50,7 +50,7 @@ def test_knn_chunks_match_brute_force(spark):
     feats = list(sig.features)
     pdf = sig.df.select("l_suppkey", "pos", *feats).toPandas().sort_values(["l_suppkey", "pos"]).reset_index(drop=True)
     exp = _brute_knn(pdf, feats, 5)
-    got = knn_impute(sig, k=5, chunk_rows=150).df.select("l_suppkey", "pos", *feats).toPandas() \
+    got = knn_impute(sig, k=5, receiver_rows=150, donor_rows=400).df.select("l_suppkey", "pos", *feats).toPandas() \
         .sort_values(["l_suppkey", "pos"]).reset_index(drop=True)
     assert np.allclose(got[feats].to_numpy(float), exp[feats].to_numpy(float))
 
