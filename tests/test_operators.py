@@ -114,13 +114,23 @@ def test_processed_table_keeps_masked_cells_masked(spark):
     assert got == {("x", 1): 2.0, ("x", 2): None, ("y", 1): 3.0}
 
 
-def test_unimplemented_fills_raise(spark):
+def test_no_fill_is_replaced_by_another(spark):
     from sigsieve.operators import transform as X
-    df = spark.createDataFrame([("x", 1, 1.0), ("x", 2, None)], "k string, t long, v double")
-    sig = make_signal(df, ["k"], ["t"], ["v"], checkpoint=False)
-    for method in ("MICE", "KNN Imputation"):
-        with pytest.raises(NotImplementedError):
-            X.impute(sig, method)
+    from sigsieve.plans.pipeline import smooth
+    rows = [("x", t, None if t == 7 else float(t % 5) * 100, float(t % 5) * 200 + 1) for t in range(40)]  # t = 7: 200 by w
+    sig = make_signal(spark.createDataFrame(rows, "k string, t long, v double, w double"), ["k"], ["t"], ["v", "w"])
+
+    def at7(method):
+        return X.impute(sig, method).df.where("t = 7").first()["v"]
+    assert abs(at7("MICE") - 200) < 1 and at7("KNN Imputation") == 200.0
+    # row 7's neighbours hold 100 and 300: the temporal fill meets 200 by chance, so ask a row where it doesn't
+    late = sig.with_df(sig.df.withColumn("v", F.when(F.col("t") != 9, F.coalesce("v", F.lit(200.0)))))
+    fills = {m: X.impute(late, m).df.where("t = 9").first()["v"] for m in ("MICE", "KNN Imputation", "Linear Interpolation")}
+    assert fills["Linear Interpolation"] == 150.0 and abs(fills["MICE"] - 400) < 1 and fills["KNN Imputation"] == 400.0
+    with pytest.raises(ValueError):
+        X.impute(sig, "no such method")
+    with pytest.raises(NotImplementedError):
+        smooth(sig, "Fourier")
 
 
 def test_plain_coercion_and_catalogue_flags(spark):
