@@ -5,7 +5,8 @@ cut into windows of 4 * 2**c shingles at half that stride, so a passage as long
 one window, and a window that holds 0.8 of a template has a Jaccard similarity of at least 0.19 with it.  With one row
 to a band, `bands` minima find it with probability 1 - 0.81**bands: above 0.999998 at 64.  Texts and windows that share
 no shingle with any template can't share a minimum with one either, so they are left before the minima are taken.
-Found pairs are checked by the exact share of the template's shingles that the document holds.
+Found pairs are checked by the exact share of the template's shingles that the document holds.  A template of fewer than
+five words is one shingle, its whole sequence of words, and found by exact lookup of the document's runs of as many words.
 
 DataFrame functions only; templates are a small table of the caller, sent to all tasks, and refused above a stated size.
 """
@@ -35,58 +36,91 @@ TEMPLATES = [
     ("CC-BY-4.0-notice", "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-notice", "cc", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
 ]
+#: Notices of fewer than K words.
+SHORT_TEMPLATES = [
+    ("All-rights-reserved", "reserved", "All rights reserved."),
+    ("Some-rights-reserved", "reserved", "Some rights reserved."),
+    ("No-rights-reserved", "reserved", "No rights reserved."),
+]
 K = 5
 
 
-def _worded(df: DataFrame) -> DataFrame:
-    """_w: words (lower-cased runs of a-z and 0-9); _s: hash of every shingle, in order.
+def _hashes(k: int) -> str:
+    """Hashes of every run of k words of w, in order."""
+    each = ", ".join(f"w[i + {j}]" for j in range(k))
+    return f"if(size(w) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {k}), i -> xxhash64({each})))"
+
+
+def _runs(k: int) -> str:
+    """Distinct runs of k words of _w."""
+    return f"if(size(_w) < {k}, array(), array_distinct(transform(sequence(0, size(_w) - {k}), i -> concat_ws(' ', slice(_w, i + 1, {k})))))"
+
+
+def _worded(df: DataFrame, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """_w: words (lower-cased runs of a-z and 0-9); _s: hash of every shingle, in order; _t: hashes of the runs of `sizes` words.
 
     transform(array(x), w -> ...)[0] binds w once; a plain reference would be split again for every shingle wherever
     the optimizer pulls the columns into a filter."""
     words = "filter(split(lower(coalesce(text, '')), '[^a-z0-9]+'), x -> x <> '')"
-    each = ", ".join(f"w[i + {j}]" for j in range(K))
-    hashes = f"if(size(w) < {K}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {K}), i -> xxhash64({each})))"
-    return df.withColumn("_w", F.expr(words)).withColumn("_s", F.expr(f"transform(array({words}), w -> {hashes})[0]"))
-
-
-_SHINGLES = f"if(size(_w) < {K}, array(), array_distinct(transform(sequence(0, size(_w) - {K}), i -> concat_ws(' ', slice(_w, i + 1, {K})))))"
+    df = df.withColumn("_w", F.expr(words)).withColumn("_s", F.expr(f"transform(array({words}), w -> {_hashes(K)})[0]"))
+    short = ", ".join(map(_hashes, sizes))
+    return df.withColumn("_t", F.expr(f"transform(array({words}), w -> concat({short}))[0]")) if sizes else df
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(license, family, t_class, t_shingles, t_hashes) of every template of at least K words; shorter ones match nothing."""
-    rows = spark.createDataFrame([(a, b, c) for a, b, c in (TEMPLATES if templates is None else templates)], "license string, family string, text string")
-    rows = _worded(rows).where(f"size(_w) >= {K}").withColumn("t_shingles", F.expr(_SHINGLES)).withColumn("t_hashes", F.array_distinct("_s"))
-    return rows.withColumn("t_class", F.expr("cast(floor(log2(size(t_hashes))) as int)")).select("license", "family", "t_class", "t_shingles", "t_hashes")
+    """(license, family, t_words, t_class, t_shingles, t_hashes) of every template with a word; t_words is K, or less where the
+    template has fewer words and is one shingle."""
+    rows = spark.createDataFrame([(a, b, c) for a, b, c in (TEMPLATES + SHORT_TEMPLATES if templates is None else templates)], "license string, family string, text string")
+    rows = _worded(rows).where("size(_w) > 0").withColumn("t_words", F.expr(f"least(size(_w), {K})"))
+    rows = rows.withColumn("t_shingles", F.expr(f"if(t_words < {K}, array(concat_ws(' ', _w)), {_runs(K)})"))
+    short = F.expr("case t_words " + " ".join(f"when {k} then transform(array(_w), w -> {_hashes(k)})[0]" for k in range(1, K)) + " end")
+    rows = rows.withColumn("t_hashes", F.when(F.col("t_words") < K, short).otherwise(F.array_distinct("_s")))
+    return rows.withColumn("t_class", F.expr("cast(floor(log2(size(t_hashes))) as int)")).select("license", "family", "t_words", "t_class", "t_shingles", "t_hashes")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = 0.8, bands: int = 64, max_shingles: int = 20_000) -> DataFrame:
     """(doc_id, license, family, n_shared, n_template, containment): the templates of which a document holds the share
     `least`; of each family those with the largest share.
 
-    Null, empty and short texts match nothing; repeated rows of one doc_id give one row with the largest share.  Texts of
+    Null and empty texts match nothing; a template of fewer than K words is held whole or not at all;
+    repeated rows of one doc_id give one row with the largest share.  Texts of
     one doc_id are scanned apart.  A template list of more than max_shingles shingles is refused.  Only doc_id and text are read.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates)
-    known = table.select("t_class", F.explode("t_hashes").alias("h")).distinct().limit(max_shingles + 1).collect()
+    known = table.select("t_words", "t_class", F.explode("t_hashes").alias("h")).distinct().limit(max_shingles + 1).collect()
     if len(known) > max_shingles:
         raise ValueError(f"templates of more than {max_shingles} shingles; scan with parts of them")
-    every, classes = sorted({r.h for r in known}), sorted({r.t_class for r in known})
+    every, classes = sorted({r.h for r in known if r.t_words == K}), sorted({r.t_class for r in known if r.t_words == K})
+    brief, sizes = sorted({r.h for r in known if r.t_words < K}), tuple(sorted({r.t_words for r in known if r.t_words < K}))
     spec = "doc_id bigint, license string, family string, n_shared bigint, n_template bigint, containment double"
-    if not every:
+    if not known:
         return spark.createDataFrame([], spec)
-    rows = _worded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = rows.where(F.arrays_overlap("_s", F.lit(every))).select("doc_id", F.xxhash64("text").alias("_h"), "_w", "_s").dropDuplicates(["doc_id", "_h"])
+    rows = _worded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), sizes)
+    overlap = lambda column, hashes: F.arrays_overlap(column, F.lit(hashes)) if hashes else F.lit(False)
+    rows = rows.withColumn("_long", overlap("_s", every)).withColumn("_brief", overlap("_t", brief)).where("_long or _brief")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("_h"), "_w", "_s", "_long", "_brief").dropDuplicates(["doc_id", "_h"])
     rows = cut(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))  # few rows, much work on each
-    cuts = "flatten(transform(array({}), c -> transform(sequence(0, size(_s) - 1, shiftleft(2, c)), a -> named_struct('c', c, 'win', slice(_s, a + 1, shiftleft(4, c))))))".format(", ".join(map(str, classes)))
-    windows = rows.select("doc_id", "_h", F.explode(F.expr(cuts)).alias("x")).select("doc_id", "_h", "x.c", "x.win").where(F.arrays_overlap("win", F.lit(every)))
-    minima = f"transform(sequence(1, {bands}), i -> array_min(transform({{}}, h -> xxhash64(h, i))))"
-    signed = windows.select("doc_id", "_h", "c", F.posexplode(F.expr(minima.format("win"))).alias("band", "low"))
-    bands_of = table.select("license", F.col("t_class").alias("c"), F.posexplode(F.expr(minima.format("t_hashes"))).alias("band", "low"))
-    pairs = signed.join(F.broadcast(bands_of), ["c", "band", "low"]).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "license").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
-    held = rows.withColumn("_held", F.expr(_SHINGLES)).join(pairs, same).join(F.broadcast(table.drop("t_hashes")), "license")
-    held = held.select("doc_id", "license", "family", F.size(F.array_intersect("_held", "t_shingles")).cast("bigint").alias("n_shared"), F.size("t_shingles").cast("bigint").alias("n_template"))
+    held = None
+    if every:
+        cuts = "flatten(transform(array({}), c -> transform(sequence(0, greatest(size(_s) - 1, 0), shiftleft(2, c)), a -> named_struct('c', c, 'win', slice(_s, a + 1, shiftleft(4, c))))))".format(", ".join(map(str, classes)))
+        windows = rows.where("_long").select("doc_id", "_h", F.explode(F.expr(cuts)).alias("x")).select("doc_id", "_h", "x.c", "x.win").where(F.arrays_overlap("win", F.lit(every)))
+        minima = f"transform(sequence(1, {bands}), i -> array_min(transform({{}}, h -> xxhash64(h, i))))"
+        signed = windows.select("doc_id", "_h", "c", F.posexplode(F.expr(minima.format("win"))).alias("band", "low"))
+        long = table.where(F.col("t_words") == K)
+        bands_of = long.select("license", F.col("t_class").alias("c"), F.posexplode(F.expr(minima.format("t_hashes"))).alias("band", "low"))
+        pairs = signed.join(F.broadcast(bands_of), ["c", "band", "low"]).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "license").distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
+        held = rows.withColumn("_held", F.expr(_runs(K))).join(pairs, same).join(F.broadcast(long.select("license", "family", "t_shingles")), "license")
+        held = held.select("doc_id", "_h", "license", "family", F.array_intersect("_held", "t_shingles").alias("_own"), F.size("t_shingles").cast("bigint").alias("n_template"))
+    if brief:
+        short = table.where(F.col("t_words") < K).select("license", "family", F.col("t_shingles")[0].alias("_run"))
+        known_runs = F.lit(sorted({r._run for r in short.collect()}))
+        found = rows.where("_brief").withColumn("_runs", F.expr(f"concat({', '.join(map(_runs, sizes))})"))
+        found = found.select("doc_id", "_h", F.explode(F.array_intersect("_runs", known_runs)).alias("_run")).join(F.broadcast(short), "_run")
+        found = found.select("doc_id", "_h", "license", "family", F.array("_run").alias("_own"), F.lit(1).cast("bigint").alias("n_template"))
+        held = held.unionAll(found) if held is not None else found
+    held = held.withColumn("n_shared", F.size("_own").cast("bigint"))
     held = held.withColumn("containment", F.col("n_shared") / F.col("n_template")).where(F.col("n_shared") >= least * F.col("n_template"))
     held = held.groupBy("doc_id", "license", "family").agg(F.max("n_shared").alias("n_shared"), F.max("n_template").alias("n_template"), F.max("containment").alias("containment"))
     best = F.max("containment").over(Window.partitionBy("doc_id", "family"))

@@ -348,6 +348,19 @@ def test_license_scan(spark):
     assert license_scan.scan(df, []).count() == 0
 
 
+def test_license_notices_of_few_words(spark):
+    pad = " ".join(f"x{i}" for i in range(3000))
+    rows = [(1, "All rights reserved."), (2, f"{pad}\n(c) 2001.  ALL RIGHTS\nreserved\n{pad}"), (3, "all rights are reserved"), (4, "overall rights reserved"), (5, f"{pad} all rights"),
+            (6, "Released under the MIT License.\nAll rights reserved."), (7, "Some rights reserved"), (8, None), (9, ""), (None, "all rights reserved"), (1, "nothing here")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = _sorted((r.doc_id, r.license, r.n_shared, r.n_template) for r in license_scan.scan(df).collect())
+    reserved = [(d, "All-rights-reserved", 1, 1) for d in (1, 2, 6, None)]
+    assert got == _sorted([*reserved, (6, "MIT", 1, 1), (7, "Some-rights-reserved", 1, 1)])
+    own = [("one", "a", "reserved"), ("two", "a", "x7 x8"), ("four", "b", "x7 x8 x9 x10"), ("none", "b", "...")]
+    got = _sorted((r.doc_id, r.license) for r in license_scan.scan(df, own).collect())
+    assert got == _sorted([(d, "one") for d in (1, 2, 3, 4, 6, 7, None)] + [(d, x) for d in (2, 5) for x in ("two", "four")])
+
+
 # ---- 1
 
 
