@@ -4,10 +4,10 @@ Coarse inverted lists (k-means on the unit sphere), residuals coded in subspaces
 the probed lists, exact cosine rerank.  Both codebooks are fitted on the driver on a sample of at most `sample_rows`
 vectors; every vector is indexed and is a query.
 
-* Probes.  A near vector lies in another list only if it crosses the bisector between the two centroids, so a query probes
-  each list whose bisector is at most `reach` away.  A displacement of length d has a component of about d / sqrt(dim)
-  along one direction; reach is two of those at the threshold's distance, or 1.25 times what the sample's linked pairs
-  need, if more.  A link is found if either of its vectors probes the other's list.
+* Probes.  Two vectors in different lists lie on both sides of the bisector between the centroids, so their distances to
+  it sum to at most their own distance, and one of them is within half of that.  A query probes each list whose bisector
+  is at most `reach`, half the threshold's distance, away.  A link is found if either of its vectors probes the other's
+  list, so none is lost, however the vectors are spread.
 * Table lookup.  A vector's distance to its code is stored, so "lookup distance <= threshold distance + that" drops no
   link that was probed.  Survivors are compared by cosine in double precision: no link below the threshold is reported.
 * Hot lists.  A list is dealt into blocks of at most `block_rows`; queries stream past each block.  A task reports, for
@@ -74,13 +74,7 @@ def fit(sample: np.ndarray, n_rows: int, least: float, list_rows: int = 512, par
     residual = np.pad(sample - centroids[mine], ((0, 0), (0, parts * width - dim)))
     books = np.stack([_kmeans(residual[:, p * width : (p + 1) * width], max(1, min(codes, len(sample) // 8)), 6, rng) for p in range(parts)])
     far = np.sqrt(2 - 2 * least)
-    reach = 2 * far / np.sqrt(dim)
-    t = _bisectors(sample, centroids, mine)
-    need = [reach]
-    for at in range(0, len(sample), 1024):
-        i, j = np.nonzero(sample[at : at + 1024] @ sample.T >= least)
-        need.append(1.25 * np.quantile(t[at + i, mine[j]], 0.9999) if len(i) else 0)
-    return Index(centroids, books, float(max(need)))
+    return Index(centroids, books, float(far / 2 + 1e-6))  # more than rounding
 
 
 def _code(index: Index, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,12 +113,12 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vectors.to_pylist()), np.float64).reshape(-1, dim) if len(vectors) else np.zeros((0, dim))
 
 
-def _near(distinct: DataFrame, dim: int, least: float, sample_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _near(distinct: DataFrame, dim: int, least: float, sample_rows: int, block_rows: int, list_rows: int) -> tuple[DataFrame, DataFrame]:
     """(node, n) link counts and (u, v) spanning links of the distinct vectors (node, copies, vector) of one dimension."""
     spark = distinct.sparkSession
     n_rows = distinct.count()
     rows = distinct.orderBy("node").limit(sample_rows).select("vector").toArrow()  # node is a hash: a random sample
-    index = fit(_unit(_matrix(rows.column("vector").combine_chunks(), dim)), n_rows, least)
+    index = fit(_unit(_matrix(rows.column("vector").combine_chunks(), dim)), n_rows, least, list_rows)
     sent = spark.sparkContext.broadcast(index)
     far = float(np.sqrt(2 - 2 * least))
     lists = len(index.centroids)
@@ -210,7 +204,7 @@ def _near(distinct: DataFrame, dim: int, least: float, sample_rows: int, block_r
     return found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n")), found.where("u <> v").select("u", "v")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = 32_768, block_rows: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = 32_768, block_rows: int = 2048, list_rows: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
     Null and zero vectors and those with a null, NaN or infinite component link with nothing; vectors of different
@@ -236,7 +230,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample_rows: int = 3
     counts = vectors.sparkSession.createDataFrame([], "node bigint, n bigint")
     links = vectors.sparkSession.createDataFrame([], "u bigint, v bigint")
     for r in distinct.select("dim").distinct().collect():
-        n, uv = _near(distinct.where(F.col("dim") == r.dim).select("node", "copies", "vector"), r.dim, least, sample_rows, block_rows)
+        n, uv = _near(distinct.where(F.col("dim") == r.dim).select("node", "copies", "vector"), r.dim, least, sample_rows, block_rows, list_rows)
         counts, links = counts.unionAll(n), links.unionAll(uv)
     roots = cut(components(links))
     labelled = distinct.select("node", "copies", "rep").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
