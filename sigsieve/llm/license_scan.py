@@ -79,8 +79,17 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]] |
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = 0.8, bands: int = 64, max_shingles: int = 20_000) -> DataFrame:
-    """(doc_id, license, family, n_shared, n_template, containment): the templates of which a document holds the share
-    `least`; of each family those with the largest share.
+    """matches(), of each family only those with the largest share."""
+    held = matches(docs, templates, least, bands, max_shingles)
+    best = F.max("containment").over(Window.partitionBy("doc_id", "family"))
+    return held.withColumn("_best", best).where("containment = _best").drop("_best")
+
+
+def matches(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = 0.8, bands: int = 64, max_shingles: int = 20_000) -> DataFrame:
+    """(doc_id, license, family, n_shared, n_template, containment): the templates of which a document holds the share `least`.
+
+    A template held in part is left out only if another of its family is held to a larger share and has all the
+    shingles that speak for it (GPL-2.0's line holds 7 of the 8 shingles of GPL-3.0's).
 
     Null and empty texts match nothing; a template of fewer than K words is held whole or not at all;
     repeated rows of one doc_id give one row with the largest share.  Texts of
@@ -122,9 +131,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, l
         held = held.unionAll(found) if held is not None else found
     held = held.withColumn("n_shared", F.size("_own").cast("bigint"))
     held = held.withColumn("containment", F.col("n_shared") / F.col("n_template")).where(F.col("n_shared") >= least * F.col("n_template"))
-    held = held.groupBy("doc_id", "license", "family").agg(F.max("n_shared").alias("n_shared"), F.max("n_template").alias("n_template"), F.max("containment").alias("containment"))
-    best = F.max("containment").over(Window.partitionBy("doc_id", "family"))
-    return held.withColumn("_best", best).where("containment = _best").select("doc_id", "license", "family", "n_shared", "n_template", "containment")
+    hits = held.groupBy("doc_id", "_h", "family").agg(F.collect_list(F.struct("license", "n_shared", "n_template", "containment", "_own")).alias("_all"))
+    confused = "exists(_all, y -> y.containment > x.containment and size(array_except(x._own, y._own)) = 0)"
+    hits = hits.withColumn("_x", F.explode(F.expr(f"filter(_all, x -> x.containment = 1 or not {confused})"))).select("doc_id", "family", "_x.*")
+    hits = hits.groupBy("doc_id", "license", "family").agg(F.max("n_shared").alias("n_shared"), F.max("n_template").alias("n_template"), F.max("containment").alias("containment"))
+    return hits.select("doc_id", "license", "family", "n_shared", "n_template", "containment")
 
 
 def scan_sql() -> str:

@@ -13,7 +13,7 @@ def op1_html_extract(spark, sf_dir):
 
 
 def op2_license_scan(spark, sf_dir):
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.matches(table(spark, sf_dir, "documents"))
 
 
 def op3_chat_format(spark, sf_dir):

@@ -374,6 +374,19 @@ def test_license_notices_of_few_words(spark):
     assert got == _sorted([(d, "one") for d in (1, 2, 3, 4, 6, 7, None)] + [(d, x) for d in (2, 5) for x in ("two", "four")])
 
 
+def test_license_matches_keep_every_license(spark):
+    text = {a: c for a, _, c in license_scan.TEMPLATES}
+    edited = lambda name, at: " ".join("zz" if i == at else w for i, w in enumerate(text[name].split()))
+    rows = [(1, f"{text['CC-BY-4.0']}\n{edited('CC0-notice', 0)}"), (2, f"{text['MIT']}\n{edited('MIT-text', 3)}"), (3, f"{text['GPL-3.0']}\n{edited('GPL-notice', 3)}"),
+            (4, text["GPL-2.0"]), (5, f"{text['GPL-2.0']}\n{edited('GPL-3.0', 0)}"), (6, text["Apache-2.0-notice"])]
+    df = spark.createDataFrame(rows, DOCS)
+    got = _sorted((r.doc_id, r.license) for r in license_scan.matches(df).collect())
+    assert got == _sorted([(1, "CC-BY-4.0"), (1, "CC0-notice"), (2, "MIT"), (2, "MIT-text"), (3, "GPL-3.0"), (3, "GPL-notice"),
+                           (4, "GPL-2.0"), (5, "GPL-2.0"), (5, "GPL-3.0"), (6, "Apache-2.0"), (6, "Apache-2.0-notice")])
+    best = {(r.doc_id, r.license) for r in license_scan.scan(df).collect()}
+    assert best == set(got) - {(1, "CC0-notice"), (2, "MIT-text"), (3, "GPL-notice")}
+
+
 # ---- 1
 
 
