@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, simhash_dedup, substring_dedup, suffix_dedup
+from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, periodic_runs, simhash_dedup, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -54,6 +54,21 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs):
+    """docs with h = crc32(decimal doc_id), g = h div 10: where h % 10 = 0, the n words from a = g % n on repeat with
+    period 1 + (n - a) div (3 + g % 8).  Empty texts and rows without doc_id stay."""
+    words = r"transform(array(filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')), w -> if(size(w) = 0, text, array_join(transform(sequence(0, size(w) - 1), i -> {word}), ' ')))[0]"
+    start = "cast(_g % size(w) as int)"
+    word = f"if(i < {start}, w[i], w[{start} + (i - {start}) % (1 + cast((size(w) - {start}) div (3 + _g % 8) as int))])"
+    h = F.crc32(F.col("doc_id").cast("bigint").cast("string"))
+    rows = docs.select("doc_id", "text", h.alias("_h")).withColumn("_g", F.expr("_h div 10"))
+    return rows.select("doc_id", F.expr(f"if(_h % 10 = 0, {words.format(word=word)}, text)").alias("text"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_license_scan": op2_license_scan,
@@ -65,6 +80,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_source_mix": op10_source_mix,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
