@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, periodic_runs, simhash_dedup, substring_dedup, suffix_dedup
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, periodic_runs, simhash_dedup, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -54,6 +54,13 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 def with_periods(docs):
     """docs with h = crc32(decimal doc_id), g = h div 10: where h % 10 = 0, the n words from a = g % n on repeat with
     period 1 + (n - a) div (3 + g % 8).  Empty texts and rows without doc_id stay."""
@@ -80,6 +87,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_source_mix": op10_source_mix,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
