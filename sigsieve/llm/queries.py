@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, embedding_dedup, html_extract, language_id, license_scan, mixing, periodic_runs, simhash_dedup, substring_dedup, suffix_dedup
+from . import byte_bpe, chat_format, decontaminate, embedding_dedup, hard_negatives, html_extract, language_id, license_scan, mixing, periodic_runs, simhash_dedup, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -54,6 +54,12 @@ def op10_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    rows = rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.hard_negatives(rows, "vec_id % 100 = 0", positives=5, negatives=10, least_pct=30, most_pct=90)
+
+
 def op12_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_source_mix": op10_source_mix,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -123,5 +130,21 @@ sh AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELE
 n AS (SELECT item_id, count(*) AS n_item FROM sh GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
 FROM ds JOIN sh USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
     "op10_source_mix": mixing.mix_sql("docs AS (SELECT doc_id, text, source FROM documents)"),
 }
