@@ -5,8 +5,10 @@ document is cut into overlapping windows of 4 * 2**c shingles, a stride of half
 item of the class lies inside one window.  Size against size, a contained item has a Jaccard similarity of at least
 0.19 with that window; a window and an item become a candidate when any of `perms` minima agree (one row to a band),
 which misses such a pair with probability 0.81**64 < 2e-6.  Candidates are checked by exact shingle containment in the
-whole document.  Nothing is shuffled: the items travel to the documents in blocks of at most `block_items`, each block
-one broadcast of bounded size and one pass, so a large benchmark only means more passes.
+whole document.  An item of fewer than k words is one shingle, its whole sequence of words, and found by exact lookup of
+the document's runs of as many words.  Nothing is shuffled: the items travel to the documents in blocks of at most
+`block_items` items and `block_bytes` bytes (one longer item is a block of its own), each block one broadcast of bounded
+size and one pass, so a large benchmark only means more passes.
 """
 
 from __future__ import annotations
@@ -53,15 +55,24 @@ class _Index:
     def __init__(self, items: list[tuple[int, str]], k: int, perms: int):
         self.k, self.odd, self.items = k, _odd(perms), {}
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            grams = _shingles(text, k)
-            if not grams:
+            size = min(k, len(normal_words(text)))
+            if not size:
                 continue
-            h, first, last = _hashes([text], k)
+            grams = _shingles(text, size)
+            h, first, last = _hashes([text], size)
             at = len(self.items)
-            self.items[at] = (item_id, grams)
+            self.items[at] = (item_id, grams, size)
+            if size < k:
+                short.setdefault(size, []).append((int(h[first[0]]), at))
+                continue
             minima = (h[first[0] : last[0], None] * self.odd).min(axis=0)
             classes.setdefault(len(grams).bit_length() - 1, []).append((at, minima))
+        self.short = {}
+        for size, rows in sorted(short.items()):
+            rows.sort()
+            self.short[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]))
         self.classes = {}
         for c, rows in sorted(classes.items()):
             values = np.concatenate([m for _, m in rows])
@@ -72,10 +83,18 @@ class _Index:
             self.classes[c] = (values[order], owner[order], seen)
 
     def candidates(self, texts: list[str | None]) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        for size, (values, owner) in self.short.items():
+            h, first, last = _hashes(texts, size)
+            hit = np.flatnonzero(np.isin(h, values))
+            d = np.searchsorted(first, hit, side="right") - 1
+            hit, d = hit[hit < last[d]], d[hit < last[d]]  # runs that lie inside one text
+            a, b = np.searchsorted(values, h[hit], "left"), np.searchsorted(values, h[hit], "right")
+            for i in range(len(hit)):
+                found.update((int(d[i]), int(o)) for o in owner[a[i] : b[i]])
         h, first, last = _hashes(texts, self.k)
         count = last - first
         keep = np.flatnonzero(count > 0)
-        found: set[tuple[int, int]] = set()
         if not len(keep) or not self.classes:
             return found
         first, count = first[keep], count[keep]
@@ -114,35 +133,39 @@ class _Index:
             by_text.setdefault(d, []).append(o)
         rows = []
         for d, owners in sorted(by_text.items()):
-            grams = _shingles(texts[d], self.k)
+            grams: dict[int, set[bytes]] = {}
             for o in sorted(owners):
-                item_id, own = self.items[o]
-                if (shared := len(own & grams)) >= least * len(own):
+                item_id, own, size = self.items[o]
+                if size not in grams:
+                    grams[size] = _shingles(texts[d], size)
+                if (shared := len(own & grams[size])) >= least * len(own):
                     rows.append((d, item_id, shared, len(own)))
         return rows
 
 
-def _blocks(benchmark: DataFrame, k: int, perms: int, block_items: int) -> list[Broadcast]:
+def _blocks(benchmark: DataFrame, k: int, perms: int, block_items: int, block_bytes: int) -> list[Broadcast]:
     """One broadcast per block of items.  Rows are fetched block by block, never all at once."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    sent, held = [], []
+    sent, held, size = [], [], 0
     for row in rows.toLocalIterator():
-        held.append((row.item_id, row.text))
-        if len(held) == block_items:
+        if held and (len(held) == block_items or size + len(row.text) > block_bytes):
             sent.append(spark.sparkContext.broadcast(_Index(held, k, perms)))
-            held = []
+            held, size = [], 0
+        held.append((row.item_id, row.text))
+        size += len(row.text)
     if held:
         sent.append(spark.sparkContext.broadcast(_Index(held, k, perms)))
     return sent
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, perms: int = 64, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, perms: int = 64, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every item of which a document holds the share `least`.
 
-    Texts are compared as lower-cased words without ASCII punctuation.  Items of fewer than k words, empty or null ones
-    hold no shingle and match nothing; null or empty documents match nothing.  Repeated rows of one id give one row,
-    that of the largest containment.  Only doc_id, text and item_id, text are read.
+    Texts are compared as lower-cased words without ASCII punctuation.  An item of fewer than k words is one shingle (n_item
+    1), held where its words stand in a row.  Items without words or null ones match nothing; null or empty documents
+    match nothing; an empty benchmark or table gives an empty result.  Repeated rows of one id give one row, that of the
+    largest containment.  Only doc_id, text and item_id, text are read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())])
     spec = "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint"
@@ -160,16 +183,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
         return thin.mapInArrow(run, spec)
 
     found = docs.sparkSession.createDataFrame([], spec)
-    for block in _blocks(benchmark, k, perms, block_items):
+    for block in _blocks(benchmark, k, perms, block_items, block_bytes):
         found = found.unionAll(against(block))
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("n_shared"))
     return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r").withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, perms: int = 64, block_items: int = 20_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, perms: int = 64, block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
     """docs, whole rows, without those that hold the share `least` of an item (see contaminated)."""
     kept = docs
-    for block in _blocks(benchmark, k, perms, block_items):
+    for block in _blocks(benchmark, k, perms, block_items, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, "text"):

@@ -101,7 +101,40 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\x00-\x7F])+')"
 
 SQL = {
-    "op2_license_scan": license_scan.scan_sql(),
+    "op2_license_scan": r"""
+WITH t(license, family, text) AS (VALUES
+  ('MIT', 'mit', 'Released under the MIT License.'),
+  ('MIT-text', 'mit', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+  ('Apache-2.0', 'apache', 'Licensed under the Apache License, Version 2.0.'),
+  ('Apache-2.0-notice', 'apache', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+  ('GPL-3.0', 'gpl', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('GPL-2.0', 'gpl', 'This work is licensed under the GNU General Public License, version 2.'),
+  ('GPL-notice', 'gpl', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
+  ('BSD-text', 'bsd', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'),
+  ('ISC-text', 'isc', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
+  ('MPL-2.0-notice', 'mpl', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.'),
+  ('CC-BY-NC-4.0', 'cc', 'Licensed under CC BY-NC 4.0.'),
+  ('CC-BY-4.0', 'cc', 'Licensed under CC BY 4.0.'),
+  ('CC-BY-SA-4.0', 'cc', 'Licensed under CC BY-SA 4.0.'),
+  ('CC-BY-4.0-notice', 'cc', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
+  ('CC0-notice', 'cc', 'To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.'),
+  ('All-rights-reserved', 'reserved', 'All rights reserved.'),
+  ('Some-rights-reserved', 'reserved', 'Some rights reserved.'),
+  ('No-rights-reserved', 'reserved', 'No rights reserved.')),
+tw AS (SELECT license, family, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t),
+tk AS (SELECT license, family, w, least(len(w), 5) AS k FROM tw),
+ts AS (SELECT DISTINCT license, family, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM tk)),
+tn AS (SELECT license, count(*) AS n_template FROM ts GROUP BY license),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM ts))),
+own AS (SELECT doc_id, license, family, list(s) AS own, count(*) AS n_shared FROM ds JOIN ts USING (k, s) GROUP BY ALL),
+held AS (SELECT *, n_shared / n_template AS containment FROM own JOIN tn USING (license) WHERE n_shared >= 0.8 * n_template)
+SELECT doc_id, license, family, n_shared, n_template, containment FROM held x
+WHERE containment = 1 OR NOT EXISTS (
+  SELECT 1 FROM held y
+  WHERE y.doc_id = x.doc_id AND y.family = x.family AND y.containment > x.containment AND list_has_all(y.own, x.own))""",
     "op3_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -123,13 +156,13 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)""",
     "op9_decontaminate": f"""
-WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)),
-iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-sh AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw)),
-n AS (SELECT item_id, count(*) AS n_item FROM sh GROUP BY item_id)
+WITH iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+sh AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM iw WHERE k > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM sh GROUP BY item_id),
+dw AS (SELECT doc_id, k, {_WORDS} AS w FROM documents, (SELECT DISTINCT k FROM sh)),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM dw))
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM ds JOIN sh USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
+FROM ds JOIN sh USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_item)""",
     "op11_hard_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
