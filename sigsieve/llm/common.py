@@ -48,6 +48,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def place(df: DataFrame, name: str) -> str:
+    """The name of a column of df in numbered(df)."""
+    return f"c{df.columns.index(name)}"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: none of them clashes with a helper column, whatever it was called."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without copying texts; null reads as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, column, cut, out, pieces
+from .common import PIECE_BYTES, column, cut, numbered, out, pieces, place
 from .components import components
 
 QUARTERS = 4
@@ -210,6 +210,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     kept = simhash_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = cut(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    rows = numbered(docs)
+    own, text = F.col(place(docs, "doc_id")), F.xxhash64(place(docs, "text"))
+    rows = rows.withColumn("_own", own).withColumn("_own_hash", text)
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_own", "_own_hash"]).drop("_own", "_own_hash").toDF(*docs.columns)

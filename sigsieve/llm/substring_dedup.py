@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textgrid as tg
-from .common import column, cut, out, pieces, release, utf8
+from .common import column, cut, numbered, out, pieces, place, release, utf8
 
 GRAM = 5
 
@@ -271,27 +271,30 @@ def digests(docs: DataFrame, window: int = 13, hot: int = 200_000) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = 13, hot: int = 200_000) -> DataFrame:
     """docs with covered words gone: rows that lose words have the rest joined by one space (the untouched keep their
     text as it is), n_chars, where there is such a column, follows, and rows that lose all their words go."""
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
     spans = repeated_spans(_keyed(docs).where("doc_id is not null and text is not null"), window, hot)
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left").drop("_id", "_text_hash", "_hash")
-    names, fields = docs.columns, {f.name: f for f in docs.schema.fields}
+    own, text = place(docs, "doc_id"), place(docs, "text")
+    joined = numbered(docs).withColumn("_hash", F.xxhash64(text))
+    joined = joined.join(spans, (F.col(own) == F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left").drop("_id", "_text_hash", "_hash")
+    names, counted = docs.columns, None
+    if "n_chars" in names and docs.schema["n_chars"].dataType.typeName() in ("long", "integer"):
+        counted = place(docs, "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            texts, empty = column(b, "text").to_pylist(), []
+        for b in pieces(batches, text):
+            texts, empty = column(b, text).to_pylist(), []
             for i, spans in enumerate(column(b, "_spans").to_pylist()):
                 if spans:
                     kept, _ = _kept(texts[i].encode().split(), spans)
                     texts[i] = b" ".join(kept).decode()
                     if not kept:
                         empty.append(i)
-            columns = {n: column(b, n) for n in names}
-            columns["text"] = pa.array(texts, columns["text"].type)
-            if "n_chars" in columns and fields["n_chars"].dataType.typeName() in ("long", "integer"):
-                own = columns["n_chars"].to_pylist()
+            columns = {f"c{i}": column(b, f"c{i}") for i in range(len(names))}
+            columns[text] = pa.array(texts, columns[text].type)
+            if counted:
+                before = columns[counted].to_pylist()
                 changed = column(b, "_spans").is_valid().to_pylist()
-                columns["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, own, strict=True)], columns["n_chars"].type)
+                columns[counted] = pa.array([len(t) if c else n for t, c, n in zip(texts, changed, before, strict=True)], columns[counted].type)
             batch = pa.RecordBatch.from_arrays(list(columns.values()), names)
             if empty:
                 stay = np.ones(b.num_rows, bool)

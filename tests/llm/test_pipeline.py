@@ -56,3 +56,40 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     order = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert order(outs[4]) == order(want) and outs[4].count() > 0
     assert order(corpus_pipeline.run(spark, str(tmp_path))) == order(want)
+
+
+CLASHING = ["_id", "_hash", "_text_hash", "_spans", "_own", "c0", "c1", "text_hash", "fp", "component_id", "spans", "item_id", "lang_pred", "score", "n_words", "epoch", "block", "place", "n_tokens", "_h"]
+
+
+def _stages(spark, rows, tmp_path, extra):
+    columns = ", ".join(f"`{c}` int" for c in extra)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint" + (f", {columns}" if extra else "")
+    spark.createDataFrame([(*x, *range(len(extra))) for x in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the one short item that nobody holds at all"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, outs = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        outs.append(docs)
+    return outs
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    r = random.Random(4)
+    talk = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = talk(40)
+    rows = [(i, f"{talk(40)} {passage} {talk(20)}", "en", "s") for i in range(6)] + [(9, talk(30), None, None), (9, "", "en", "s"), (None, talk(30), "en", "s")]
+    rows += [(20, rows[0][1], "en", "s"), (0, *rows[0][1:]), (21, "word " * 30_000, "en", "s")]
+    rows = [(*x, len(x[1])) for x in rows]
+    plain = _stages(spark, rows, tmp_path / "plain", [])
+    wide = _stages(spark, rows, tmp_path / "wide", CLASHING)
+    for a, b in zip(plain[:4], wide[:4], strict=True):
+        assert b.columns == a.columns + CLASHING
+        assert {tuple(x) for x in b.select(*CLASHING).collect()} == {tuple(range(len(CLASHING)))}
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect())) and a.count() > 0
+    assert sorted(map(repr, plain[4].collect())) == sorted(map(repr, wide[4].collect()))
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    outs = _stages(spark, [], tmp_path, ["_id"])
+    assert [o.count() for o in outs] == [0] * 5 and all(o.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] for o in outs[:4])
