@@ -1,7 +1,7 @@
 """Smoothing (S0-S3).  S0 closes gaps (linear both ways, then hold); S2 is a
 Savitzky-Golay FIR filter evaluated with sliding-window arrays over halo
 blocks, so no series is collected into one task.  Butterworth is in
-``spectral.py``; Fourier isn't built.
+``spectral.py``, Fourier in ``fourier.py``.
 """
 
 from __future__ import annotations

@@ -94,7 +94,8 @@ def smooth(sig: Signal, method: str, st: Settings = DEFAULT) -> Signal:
         from ..operators.spectral import butterworth
         return butterworth(sig, cutoff=st.filter_cutoff, fs=st.sampling_rate, order=3)
     if method == "Fourier":
-        raise NotImplementedError("Fourier smoothing needs a distributed transform of a whole series")
+        from ..operators.fourier import fourier_lowpass
+        return fourier_lowpass(sig, st.fourier_keep_ratio)
     raise ValueError(method)
 
 
