@@ -9,7 +9,8 @@ need no seam; nothing of theirs is shuffled.
 
 * Pre-tokens.  The splitting pattern's rules are stated over four classes of characters (letter, number, white space,
   other), whose table is taken from the tokenizer library once, on the driver: both know the same version of Unicode.
-* Merges.  Per pre-token, the pair of lowest rank first, leftmost on ties, by a heap over a linked list.
+* Merges.  Per pre-token, the pair of lowest rank first, leftmost on ties.  Pre-tokens that a task has not met yet are
+  merged together, those of one length as the rows of a matrix; long ones singly, by a heap over a linked list.
 * Broadcast: the vocabulary, refused above `MAX_RANKS` entries, and the class table, one byte per code point.
 """
 
@@ -18,10 +19,10 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ MAX_RANKS = 2_000_000
 REMEMBERED = 500_000
 #: Characters after a boundary that decide it: a contraction has at most three.
 _AHEAD = 3
+#: Bytes up to which pre-tokens are merged as rows of a matrix.
+_SHORT = 48
+_NO_RANK = np.iinfo(np.int64).max
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
@@ -123,14 +127,59 @@ def boundaries(codes: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.n
     return np.flatnonzero(start)
 
 
-@dataclass
+class Pairs:
+    """Rank of every pair of entries whose bytes together are an entry."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.span = max(ranks.values()) + 1
+        found = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    found[a * self.span + b] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.rank = np.array([found[k] for k in self.keys.tolist()], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.span + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], _NO_RANK) if len(self.keys) else np.full(key.shape, _NO_RANK)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens of one length, as int32 bytes."""
+        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)].reshape(len(pieces), -1)
+        pairs = self.ranks(ids[:, :-1], ids[:, 1:])
+        row, done = np.arange(len(pieces)), [b""] * len(pieces)
+        while len(row):
+            width = ids.shape[1]
+            at = pairs.argmin(axis=1) if width > 1 else np.zeros(len(row), np.int64)
+            best = pairs[np.arange(len(row)), at] if width > 1 else np.full(len(row), _NO_RANK)
+            stop = best == _NO_RANK
+            if stop.any():
+                for r, x in zip(row[stop].tolist(), ids[stop].astype(np.int32), strict=True):
+                    done[r] = x.tobytes()
+                go = ~stop
+                ids, pairs, row, at, best = ids[go], pairs[go], row[go], at[go], best[go]
+                if not len(row):
+                    break
+            here = np.arange(len(row))
+            ids[here, at] = best  # an entry's id is its rank
+            keep = np.arange(width)[None] != (at + 1)[:, None]
+            ids = ids[keep].reshape(len(row), width - 1)
+            pairs = pairs[np.arange(width - 1)[None] != at[:, None]].reshape(len(row), width - 2)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            pairs[left, at[left] - 1] = self.ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            pairs[right, at[right]] = self.ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        return done
+
+
 class Coder:
-    ranks: dict[bytes, int]
-    classes: np.ndarray
-    known: dict[bytes, bytes] = field(default_factory=dict)
+    def __init__(self, ranks: dict[bytes, int], classes: np.ndarray, pairs: Pairs | None = None):
+        self.ranks, self.classes, self.pairs, self.known = ranks, classes, pairs or Pairs(ranks), {}
 
-    def __getstate__(self):
-        return {"ranks": self.ranks, "classes": self.classes, "known": {}}
+    def __reduce__(self):
+        return Coder, (self.ranks, self.classes, self.pairs)
 
     def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code points, text ends, starts of pre-tokens) of all texts."""
@@ -139,14 +188,32 @@ class Coder:
         np.cumsum([len(t) for t in texts], out=ends[1:])
         return codes, ends, boundaries(codes, ends, self.classes)
 
-    def ids(self, pieces: list[bytes]) -> bytes:
-        """Ids of pre-tokens as int32 bytes."""
+    def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, how many ids precede each one and the end)."""
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for p in set(pieces).difference(known):
-            known[p] = np.array(merge(p, self.ranks), np.int32).tobytes()
-        return b"".join([known[p] for p in pieces])
+        found = list(map(known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            self._learn({pieces[i] for i in new})
+            for i in new:
+                found[i] = known[pieces[i]]
+        before = np.zeros(len(found) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=before[1:])
+        return np.frombuffer(b"".join(found), np.int32), before // 4
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        by_length: dict[int, list[bytes]] = {}
+        for p in pieces:
+            if (rank := self.ranks.get(p)) is not None:
+                self.known[p] = np.int32(rank).tobytes()
+            elif len(p) > _SHORT:
+                self.known[p] = np.array(merge(p, self.ranks), np.int32).tobytes()
+            else:
+                by_length.setdefault(len(p), []).append(p)
+        for same in by_length.values():
+            self.known.update(zip(same, self.pairs.merge(same), strict=True))
 
 
 def _byte_places(codes: np.ndarray) -> np.ndarray:
@@ -158,13 +225,13 @@ def _byte_places(codes: np.ndarray) -> np.ndarray:
 def _encode_texts(coder: Coder, texts: list[str], low: list[int] | None = None, high: list[int] | None = None) -> list[np.ndarray]:
     """Ids of each text, or of its pre-tokens that start in [low, high)."""
     codes, ends, starts = coder.scan(texts)
-    place = _byte_places(codes)
     raw = "".join(texts).encode()
     cuts = np.append(starts, len(codes))
     first = np.searchsorted(cuts, ends[:-1] + (0 if low is None else np.asarray(low)))
     last = np.searchsorted(cuts, ends[1:] if high is None else ends[:-1] + np.asarray(high))
-    at = place[cuts].tolist()
-    return [np.frombuffer(coder.ids([raw[x:y] for x, y in zip(at[a:b], at[a + 1 : b + 1], strict=True)]), np.int32) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    at = _byte_places(codes)[cuts].tolist()
+    ids, before = coder.ids([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+    return [ids[a:b] for a, b in zip(before[first].tolist(), before[last].tolist(), strict=True)]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -272,16 +339,33 @@ def encode(docs: DataFrame, ranks_path: str, chunk: int = 65_536, overlap: int =
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """tokens (doc_id, ids) and `data`, the concatenated bytes of the ids.  A null list decodes to no bytes; an id outside
     the vocabulary, or a null one, is an error."""
-    vocabulary = {r: t for t, r in load_ranks(ranks_path).items()}
-    sent = tokens.sparkSession.sparkContext.broadcast(vocabulary)
+    ranks = load_ranks(ranks_path)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    by_rank = sorted((r, t) for t, r in ranks.items())
+    size[[r for r, _ in by_rank]] = [len(t) for _, t in by_rank]
+    sent = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(t for _, t in by_rank), np.uint8), size, np.cumsum(size) - size))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob, size, at = sent.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
-                data = [b"".join(map(sent.value.__getitem__, ids or [])) for ids in column(s, "ids").to_pylist()]
-                yield out(schema, [column(s, "doc_id"), column(s, "ids"), data])
+            lists = column(b, "ids").fill_null([])
+            ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            low = 0
+            while low < b.num_rows:  # a million ids at a time, or one row's
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 20), side="right")) - 1)
+                part = lists.slice(low, high - low).flatten()
+                ids = part.fill_null(-1).to_numpy()
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(size) or not size[ids].all()):
+                    raise KeyError("an id outside the vocabulary")
+                long = size[ids]
+                stop = np.append(0, np.cumsum(long))
+                data = blob[np.arange(stop[-1]) + np.repeat(at[ids] - stop[:-1], long)]
+                places = stop[ends[low : high + 1] - ends[low]].astype(np.int32)
+                joined = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(places), pa.py_buffer(data)])
+                rows = b.slice(low, high - low)
+                yield out(schema, [column(rows, "doc_id"), column(rows, "ids"), joined])
+                low = high
 
     rows = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, data binary")

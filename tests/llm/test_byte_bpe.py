@@ -43,10 +43,19 @@ def test_texts_side_by_side(library):
 def test_merges_of_long_pieces(library):
     r = random.Random(1)
     ranks = byte_bpe.load_ranks(PATH)
-    for piece in ("a" * 5000, "ab" * 3000, "".join(r.choice("etaoin") for _ in range(4000)), "é漢" * 500):
+    for piece in ("'", "zq", "a" * 5000, "ab" * 3000, "ab" * 47, "xyzq" * 24, "".join(r.choice("etaoin") for _ in range(4000)), "é漢" * 500):
         assert byte_bpe.merge(piece.encode(), ranks) == library.encode_ordinary(piece)
 
 
+def test_merges_of_many_pieces_at_once(library):
+    r = random.Random(2)
+    coder = byte_bpe.Coder(byte_bpe.load_ranks(PATH), byte_bpe.character_classes())
+    pieces = list({"".join(r.choice("etaoinéxq'1") for _ in range(r.randint(1, 40))) for _ in range(3000)})
+    ids, before = coder.ids([p.encode() for p in pieces])
+    for p, a, b in zip(pieces, before[:-1], before[1:], strict=True):
+        assert ids[a:b].tolist() == byte_bpe.merge(p.encode(), coder.ranks)
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(7, 7), (16, 5), (64, 8), (65_536, 512)])
 def test_seams(spark, library, chunk, overlap):
     r = random.Random(chunk)
