@@ -200,6 +200,21 @@ class Chain:
             ex[i] = f"coalesce(c.{f}, {lin}, c.pv_{i}, c.nv_{i})"
         self.project(src, None, ex)
 
+    def fourier(self, ratio: float):
+        """Low-pass as a plain sum over all places of a series, with the kernel summed bin by bin."""
+        self.close_gaps()
+        a, nm, k = self.name("fo"), self.name("fy"), kc(self.keys)
+        gb = f"GROUP BY {', '.join(self.keys)}" if self.keys else ""
+        xs = ", ".join(f"list({f} ORDER BY pos) AS x_{i}" for i, f in enumerate(self.feats))
+        self.add(f"""{a}0 AS (SELECT {k}count(*) AS n, {xs} FROM {self.cur} {gb}),
+{a}1 AS (SELECT *, len(list_filter(range(1, n // 2 + 1), lambda k: k * (CAST(1 AS DOUBLE) / n) <= {ratio})) AS bins FROM {a}0),
+{a}2 AS (SELECT *, list_transform(range(0, n), lambda j:
+    (1 + 2 * coalesce(list_sum(list_transform(range(1, bins + 1), lambda k: cos(2 * pi() * ((k * j) % n) / n))), 0)) / n) AS d FROM {a}1),
+{a} AS (SELECT * EXCLUDE (d), list_concat(list_reverse(d[2:]), d) AS lags FROM {a}2)""")
+        y = ", ".join(f"list_dot_product(s.x_{i}, s.lags[s.n - c.pos + 1:2 * s.n - c.pos]) AS {f}" for i, f in enumerate(self.feats))
+        self.add(f"{nm} AS (SELECT {kc(self.keys, 'c.')}c.pos, {y} FROM {self.cur} c JOIN {a} s ON {on('c', 's', self.keys)})")
+        self.cur = nm
+
     def out_sql(self, extra_cols: str = "") -> str:
         feats = ", ".join(f"{R6(f)} AS {f}" for f in self.feats)
         return "WITH " + ",\n".join(self.ctes) + f"\nSELECT {kc(self.keys)}pos, {feats}{extra_cols} FROM {self.cur}"

@@ -111,6 +111,7 @@ def q_quality_index_events(spark, sf_dir):
 # Transforms on the wide signal (lineitem channels per supplier)
 # ---------------------------------------------------------------------------
 from ..operators import transform as X  # noqa: E402
+from ..operators.fourier import fourier_lowpass  # noqa: E402
 from ..operators.smooth import close_gaps, savgol  # noqa: E402
 from . import pipeline as PL  # noqa: E402
 
@@ -164,6 +165,15 @@ def q_linear_long(spark, sf_dir):
     return _rows(X.impute(signal_events(spark, sf_dir, None, n_blocks=16), "Linear Interpolation"))
 
 
+_tx("pipeline_fourier", lambda s: PL.run_pipeline(s, "Linear Interpolation", "MAD", "RobustScaler", "Fourier"))
+
+
+@query("fourier_long")
+def q_fourier_long(spark, sf_dir):
+    """S3 on one long series, dealt over groups of about 4,096 elements, with the first app's ratio."""
+    return _rows(fourier_lowpass(signal_events(spark, sf_dir, None), 0.1, block_rows=4096))
+
+
 @query("close_gaps")
 def q_close_gaps(spark, sf_dir):
     return _rows(close_gaps(signal_events(spark, sf_dir, "user_id")))
