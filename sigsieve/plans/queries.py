@@ -238,16 +238,24 @@ def _files_rules(spark, sf_dir):
     from ..signal import make_signal
     ev = read(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "value")
     sig = make_signal(ev, ["event_type", "user_id"], ["event_id"], ["value"], checkpoint=False)
+    return R.recommend_rules(P.profile_ev(_files_signal(sig)))
+
+
+def _files_signal(sig):
     v = F.when(F.expr(EVENTS_GAP_RULE), F.lit(None).cast("double")) \
         .when(F.expr(EVENTS_SPIKE_RULE), F.col("value") * 8).otherwise(F.col("value"))
-    sig = sig.with_df(sig.df.withColumn("value", v)).materialize()
-    return R.recommend_rules(P.profile_ev(sig))
+    return sig.with_df(sig.df.withColumn("value", v)).materialize()
 
 
 @query("all_files_profile")
 def q_all_files(spark, sf_dir):
-    """Profile + rule recommendation for every file x feature."""
-    return finalize(_files_rules(spark, sf_dir))
+    """Profile + rule recommendation for every file x feature, read through the file scan."""
+    from ..signal import make_signal
+    scan = FI.scan_files(spark, CI.write_recording_csv_dirs(spark, sf_dir))
+    rows = FI.wide_table(scan, FI.numeric_columns(scan))
+    rows = rows.select(F.regexp_extract("path", "/event_type=([^/]+)/", 1).alias("event_type"), _from_path("user_id").alias("user_id"),
+                       F.col("event_id").cast("long").alias("event_id"), "value")
+    return finalize(R.recommend_rules(P.profile_ev(_files_signal(make_signal(rows, ["event_type", "user_id"], ["event_id"], ["value"], checkpoint=False)))))
 
 
 @query("recommend_summary")
@@ -446,6 +454,7 @@ def q_spatial(spark, sf_dir):
 # CSV ingest and typing (on a messy CSV export derived from events)
 # ---------------------------------------------------------------------------
 from ..sources import csv_ingest as CI  # noqa: E402
+from ..sources import files as FI  # noqa: E402
 
 
 def _dirty(spark, sf_dir):
@@ -647,11 +656,44 @@ def q_ml_compare(spark, sf_dir):
 @query("file_catalogue")
 def q_file_catalogue(spark, sf_dir):
     """IO4: multi-file scan, label from the directory name, rows per file."""
-    d = CI.file_catalogue_scan(spark, CI.write_cohort_csv_dirs(spark, sf_dir))
-    return finalize(d.groupBy("dataset", F.col("file").cast("long").alias("file"), "label")
+    rules = [FI.LabelRule("/cohort=cheating/", "cohorts", 1), FI.LabelRule("/cohort=non_cheating/", "cohorts", 0)]
+    scan = FI.scan_files(spark, CI.write_cohort_csv_dirs(spark, sf_dir), rules)
+    rows = FI.wide_table(scan, FI.numeric_columns(scan))
+    return finalize(rows.groupBy("dataset", _from_path("user_id").alias("file"), "label")
                     .agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values")))
 
 
+def _from_path(key: str):
+    return F.regexp_extract("path", f"/{key}=([^/]+)/", 1).cast("long")
+
+
+def _mixed_scan(spark, sf_dir):
+    rules = [FI.LabelRule("/cohort=cheating/", "cohorts", 1), FI.LabelRule("/cohort=non_cheating/", "cohorts", 0)]
+    return FI.scan_files(spark, CI.write_mixed_files(spark, sf_dir), rules)
+
+
+@query("dialect_catalogue")
+def q_dialect_catalogue(spark, sf_dir):
+    """IO2, IO3: encoding, separator, columns and rows of every file; files that no dialect reads have an error."""
+    cat = _mixed_scan(spark, sf_dir).catalogue
+    return finalize(cat.select(_from_path("rec").alias("rec"), "dataset", "label", "encoding", "separator", "n_columns", "n_rows", "error"))
+
+
+@query("file_columns")
+def q_file_columns(spark, sf_dir):
+    """T4: numeric share of every column of every file, and the name under which it is kept (repeats as __dupN)."""
+    cols = FI.numeric_columns(_mixed_scan(spark, sf_dir))
+    return finalize(cols.select(_from_path("rec").alias("rec"), "ordinal", "name", "numeric_ratio", "column"))
+
+
+@query("file_rows")
+def q_file_rows(spark, sf_dir):
+    """IO4, T4: the rows of all files over the union of their kept columns."""
+    scan = _mixed_scan(spark, sf_dir)
+    rows = FI.wide_table(scan, FI.numeric_columns(scan))
+    return finalize(rows.withColumn("rec", _from_path("rec")).drop("path", "file"))
+
+
 @query("smooth_compare")
 def q_smooth_compare(spark, sf_dir):
     """Savitzky-Golay against the unsmoothed pipeline output: mean |change|,

@@ -175,13 +175,37 @@ def write_cohort_csv_dirs(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def file_catalogue_scan(spark: SparkSession, base: str, label_dirs=(("cheating", 1), ("non_cheating", 0))) -> DataFrame:
-    """IO4: every CSV below ``base`` in one scan; file = recording folder,
-    label from the directory name (NULL when no rule matches)."""
-    df = (spark.read.option("header", True).option("recursiveFileLookup", True).csv(base)
-          .withColumn("_path", F.col("_metadata.file_path")))
-    lab = F.lit(None).cast("int")
-    for name, v in reversed(label_dirs):
-        lab = F.when(F.col("_path").rlike(f"/cohort={name}/"), F.lit(v)).otherwise(lab)
-    return (df.withColumn("file", F.regexp_extract("_path", r"user_id=([^/]+)", 1))
-            .withColumn("dataset", F.lit("cohorts")).withColumn("label", lab).drop("_path"))
+def write_recording_csv_dirs(spark: SparkSession, sf_dir: str) -> str:
+    """One CSV folder per (event type, user), derived from every row of the events table."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "user_id", "event_id", "value")
+    path = scratch_path(spark, "recordings-csv")
+    ev.repartition("event_type", "user_id").write.partitionBy("event_type", "user_id").option("header", True).csv(path)
+    return path
+
+
+def write_mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """One CSV file per recording (user) under two cohort directories, derived from every row of the events table, in
+    five shapes by user: UTF-8 or Latin-1, comma or semicolon (with decimal commas), columns in different orders, a
+    repeated name, a quoted note; every fifth file has one column only, which no dialect reads."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
+    v = F.when(F.col("event_id") % 7 == 0, F.lit("-")).otherwise(F.col("value").cast("decimal(18,4)").cast("string"))
+    half = (F.col("event_id") * 5).cast("decimal(18,1)").cast("string")
+    size = F.col("event_id").cast("string")
+    again = (F.col("event_id") + 1).cast("string")
+    comma = lambda c: F.replace(c, F.lit("."), F.lit(","))
+    shape = F.col("user_id") % 5
+    headers = ["event_id,value,größe,value", "größe;event_id;value", 'event_id,größe,"a ""note""",value', "value;event_id;größe", "value"]
+    row = (F.when(shape == 0, F.concat_ws(",", size, v, half, again))
+           .when(shape == 1, F.concat_ws(";", comma(half), size, comma(v)))
+           .when(shape == 2, F.concat_ws(",", size, half, F.lit('"x, ""y"""'), v))
+           .when(shape == 3, F.concat_ws(";", comma(v), size, comma(half))).otherwise(v))
+    head = F.element_at(F.array(*[F.lit(h) for h in headers]), (shape + 1).cast("int"))
+    cohort = F.when(F.col("user_id") % 2 == 1, F.lit("cheating")).otherwise(F.lit("non_cheating"))
+    lines = ev.select("user_id", "event_id", row.alias("text")).unionByName(
+        ev.select("user_id").distinct().select("user_id", F.lit(None).cast("bigint").alias("event_id"), head.alias("text")))
+    raw = F.when(shape.isin(2, 3), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    path = scratch_path(spark, "mixed-csv")
+    out = lines.select(cohort.alias("cohort"), F.col("user_id").alias("rec"), "event_id", raw.cast("string").alias("text"))
+    out = out.repartition("cohort", "rec").sortWithinPartitions("cohort", "rec", F.asc_nulls_first("event_id"))
+    out.select("cohort", "rec", "text").write.partitionBy("cohort", "rec").text(path)
+    return path
