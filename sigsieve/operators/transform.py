@@ -124,32 +124,31 @@ def impute(sig: Signal, method: str, variant: str = "v2") -> Signal:
     if need_mean or need_med:
         st = series_stats(sig, moments=need_mean, quantiles={"_med": 0.5} if need_med else None)
         df = attach(df, st, list(sig.keys), how="left", bound=sig.n_series + 1)
-    new = {}
-    for i, c in enumerate(feats):
-        x = F.col(c)
-        if method == "Mean Imputation":
-            new[c] = F.coalesce(x, s("_mean", i))
-        elif method == "LOCF":
-            if variant == "v1":
-                new[c] = F.coalesce(x, F.col(f"_pv{i}.v"))
-            elif variant == "ev":
-                new[c] = F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"), s("_mean", i))
-            else:
-                new[c] = F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"))
-        elif method != "Linear Interpolation":
-            raise ValueError(method)
-        else:  # linear interpolation by row position
-            p0, v0 = F.col(f"_pv{i}.p"), F.col(f"_pv{i}.v")
-            p1, v1 = F.col(f"_nv{i}.p"), F.col(f"_nv{i}.v")
-            inner = v0 + (v1 - v0) * (F.col("pos") - p0) / (p1 - p0)
-            lin = F.when(v0.isNotNull() & v1.isNotNull(), inner)
-            if variant == "v1":
-                new[c] = F.coalesce(x, lin, v0)  # leading gap stays empty
-            elif variant == "ev":
-                new[c] = F.coalesce(x, lin, v0, v1, s("_mean", i))
-            else:
-                new[c] = F.coalesce(x, lin, v0, v1, s("_med", i), F.lit(0.0))
-    return _finish(sig, df, new)
+    return _finish(sig, df, {c: fill_expr(c, i, method, variant) for i, c in enumerate(feats)})
+
+
+def fill_expr(c: str, i: int, method: str, variant: str = "v2") -> Column:
+    """Channel c (number i) with gaps filled, from ``carry_valid`` and ``series_stats`` columns."""
+    x = F.col(c)
+    if method == "Mean Imputation":
+        return F.coalesce(x, s("_mean", i))
+    if method == "LOCF":
+        if variant == "v1":
+            return F.coalesce(x, F.col(f"_pv{i}.v"))
+        if variant == "ev":
+            return F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"), s("_mean", i))
+        return F.coalesce(x, F.col(f"_pv{i}.v"), F.col(f"_nv{i}.v"))
+    if method != "Linear Interpolation":
+        raise ValueError(method)
+    p0, v0 = F.col(f"_pv{i}.p"), F.col(f"_pv{i}.v")  # by row position
+    p1, v1 = F.col(f"_nv{i}.p"), F.col(f"_nv{i}.v")
+    inner = v0 + (v1 - v0) * (F.col("pos") - p0) / (p1 - p0)
+    lin = F.when(v0.isNotNull() & v1.isNotNull(), inner)
+    if variant == "v1":
+        return F.coalesce(x, lin, v0)  # leading gap stays empty
+    if variant == "ev":
+        return F.coalesce(x, lin, v0, v1, s("_mean", i))
+    return F.coalesce(x, lin, v0, v1, s("_med", i), F.lit(0.0))
 
 
 # ---------------------------------------------------------------------------
@@ -175,33 +174,32 @@ def mask_outliers(sig: Signal, method: str, z_thresh: float = 3.0, iqr_factor: f
         q = {"_wlo": winsor_q, "_whi": 1 - winsor_q}
     st = series_stats(sig, moments=True, quantiles=q, mad=(method == "MAD"))
     df = attach(sig.df, st, list(sig.keys), how="left", bound=sig.n_series + 1)
+    if method == "Winsorization":
+        return _finish(sig, df, {c: clip_keep_null(F.col(c), s("_wlo", i), s("_whi", i)) for i, c in enumerate(feats)})
+    odd = {c: outlier_expr(c, i, method, F.lit(z_thresh), F.lit(iqr_factor), F.lit(mad_thresh), variant) for i, c in enumerate(feats)}
+    return _finish(sig, df, {c: F.when(F.coalesce(bad, F.lit(False)), _null()).otherwise(F.col(c)) for c, bad in odd.items()})
+
+
+def outlier_expr(c: str, i: int, method: str, z_thresh: Column, iqr_factor: Column, mad_thresh: Column, variant: str = "v2") -> Column:
+    """Whether a value of channel c (number i) is an outlier, from ``series_stats`` columns."""
+    x = F.col(c)
     min_m = {"ev": 5, "v1": 1}.get(variant, 4 if method in ("IQR", "MAD") else 0)
-    new = {}
-    for i, c in enumerate(feats):
-        x = F.col(c)
-        enough = s("_m", i) >= min_m
-        if method == "Z-Score":
-            # v1 fills with the mean first: the same squares over all rows
-            sd = s("_sdp", i) * F.sqrt(s("_m", i) / F.col("_n")) if variant == "v1" else s("_sd", i)
-            bad = enough & (sd > 0) & (F.abs((x - s("_mean", i)) / sd) > z_thresh)
-        elif method == "IQR":
-            iqr = s("_q3", i) - s("_q1", i)
-            guard = enough if variant == "v1" else enough & (iqr > 0)
-            bad = guard & ((x < s("_q1", i) - iqr_factor * iqr) | (x > s("_q3", i) + iqr_factor * iqr))
-        elif method == "MAD":
-            med, mad = s("_med", i), s("_mad", i)
-            if variant in ("v1", "ev"):
-                guard = enough if variant == "v1" else enough & (mad > 0)
-                bad = guard & (F.abs(x - med) > 3 * mad)
-            else:
-                bad = enough & (mad > 0) & (F.abs(F.lit(0.6745) * (x - med) / mad) > mad_thresh)
-        elif method == "Winsorization":
-            new[c] = clip_keep_null(x, s("_wlo", i), s("_whi", i))
-            continue
-        else:
-            raise ValueError(method)
-        new[c] = F.when(F.coalesce(bad, F.lit(False)), _null()).otherwise(x)
-    return _finish(sig, df, new)
+    enough = s("_m", i) >= min_m
+    if method == "Z-Score":
+        # v1 fills with the mean first: the same squares over all rows
+        sd = s("_sdp", i) * F.sqrt(s("_m", i) / F.col("_n")) if variant == "v1" else s("_sd", i)
+        return enough & (sd > 0) & (F.abs((x - s("_mean", i)) / sd) > z_thresh)
+    if method == "IQR":
+        iqr = s("_q3", i) - s("_q1", i)
+        guard = enough if variant == "v1" else enough & (iqr > 0)
+        return guard & ((x < s("_q1", i) - iqr_factor * iqr) | (x > s("_q3", i) + iqr_factor * iqr))
+    if method != "MAD":
+        raise ValueError(method)
+    med, mad = s("_med", i), s("_mad", i)
+    if variant in ("v1", "ev"):
+        guard = enough if variant == "v1" else enough & (mad > 0)
+        return guard & (F.abs(x - med) > 3 * mad)
+    return enough & (mad > 0) & (F.abs(F.lit(0.6745) * (x - med) / mad) > mad_thresh)
 
 
 def clip(sig: Signal, lo: float | None, hi: float | None) -> Signal:
@@ -238,18 +236,19 @@ def scale(sig: Signal, method: str, variant: str = "v2") -> Signal:
     q = {"_q1": 0.25, "_med": 0.5, "_q3": 0.75} if method == "RobustScaler" else None
     st = series_stats(filled, moments=True, quantiles=q)
     df = attach(filled.df, st, keys, how="left", bound=sig.n_series + 1)
-    new = {}
-    for i, c in enumerate(feats):
-        x = F.col(c)
-        if method == "StandardScaler":
-            sd = s("_sdp", i)
-            new[c] = F.when(sd > 0, (x - s("_mean", i)) / sd).otherwise(x - s("_mean", i))
-        elif method == "RobustScaler":
-            iqr = s("_q3", i) - s("_q1", i)
-            new[c] = F.when(iqr > 0, (x - s("_med", i)) / iqr).otherwise(x - s("_med", i))
-        elif method == "MinMaxScaler":
-            rng = s("_max", i) - s("_min", i)
-            new[c] = F.when(rng > 0, (x - s("_min", i)) / rng).otherwise(x - s("_min", i))
-        else:
-            raise ValueError(method)
-    return _finish(sig, df, new)
+    return _finish(sig, df, {c: scale_expr(c, i, method) for i, c in enumerate(feats)})
+
+
+def scale_expr(c: str, i: int, method: str) -> Column:
+    """Channel c (number i), already filled, scaled by ``series_stats`` columns of the filled data."""
+    x = F.col(c)
+    if method == "StandardScaler":
+        sd = s("_sdp", i)
+        return F.when(sd > 0, (x - s("_mean", i)) / sd).otherwise(x - s("_mean", i))
+    if method == "RobustScaler":
+        iqr = s("_q3", i) - s("_q1", i)
+        return F.when(iqr > 0, (x - s("_med", i)) / iqr).otherwise(x - s("_med", i))
+    if method != "MinMaxScaler":
+        raise ValueError(method)
+    rng = s("_max", i) - s("_min", i)
+    return F.when(rng > 0, (x - s("_min", i)) / rng).otherwise(x - s("_min", i))

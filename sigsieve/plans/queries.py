@@ -521,6 +521,7 @@ _tx("robust_default", lambda s: PL.preset(s, "robust_default"))
 # Sinks as tables (IO6-IO8) and the masked-imputation benchmark
 # ---------------------------------------------------------------------------
 from ..sources import sinks as SK  # noqa: E402
+from . import replay as RE  # noqa: E402
 
 
 @query("processed_table")
@@ -539,6 +540,50 @@ def q_pipeline_definition(spark, sf_dir):
     return SK.pipeline_definition(rec, ["l_suppkey"], PL.DEFAULT, "Academic reading / cognitive task")
 
 
+def _stored(spark, definition):
+    """The definition written as JSON and read back."""
+    path = CI.scratch_path(spark, "definition")
+    SK.write_json(definition, path)
+    return RE.read_definition(spark, path, ["l_suppkey"])
+
+
+def _uniform(sig, st=PL.DEFAULT, **methods):
+    rec = sig.df.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.array(*[F.lit(f) for f in sig.features])).alias("feature"),
+                                                       *[F.lit(m).alias(k) for k, m in methods.items()])
+    return SK.pipeline_definition(rec, ["l_suppkey"], st, "Academic reading / cognitive task")
+
+
+@query("pipeline_replay")
+def q_pipeline_replay(spark, sf_dir):
+    """IO7: one method set for all series, stored, read back and replayed."""
+    sig = signal_wide(spark, sf_dir)
+    definition = _uniform(sig, missing_method="Linear Interpolation", outlier_method="MAD", normalization_method="RobustScaler", smoothing_method="None")
+    return _rows(RE.replay(sig, _stored(spark, definition)))
+
+
+@query("pipeline_replay_mixed")
+def q_pipeline_replay_mixed(spark, sf_dir):
+    """IO7: three definitions by supplier, with other settings and stage orders, stored, read back and replayed."""
+    sig = signal_wide(spark, sf_dir)
+    parts = [_uniform(sig, PL.Settings(z_thresh=2.5), missing_method="Mean Imputation", outlier_method="Z-Score", normalization_method="StandardScaler", smoothing_method="None"),
+             _uniform(sig, PL.Settings(operation_order=PL.OUT_FIRST), missing_method="LOCF", outlier_method="IQR", normalization_method="MinMaxScaler", smoothing_method="None"),
+             _uniform(sig, PL.Settings(winsor_q=0.05), missing_method="None", outlier_method="Winsorization", normalization_method="StandardScaler", smoothing_method="None")]
+    definition = None
+    for k, part in enumerate(parts):
+        part = part.where(F.col("l_suppkey") % 3 == k)
+        definition = part if definition is None else definition.unionByName(part)
+    return _rows(RE.replay(sig, _stored(spark, definition)))
+
+
+@query("recommended_replay")
+def q_recommended_replay(spark, sf_dir):
+    """IO7: the recommended methods of every supplier and channel, stored, read back and replayed."""
+    sig = signal_wide(spark, sf_dir)
+    rec = R.recommend_adaptive(P.profile(sig), ["l_suppkey"])
+    definition = SK.pipeline_definition(rec, ["l_suppkey"], PL.DEFAULT, "Academic reading / cognitive task")
+    return _rows(RE.replay(sig, _stored(spark, definition)))
+
+
 @query("quality_report")
 def q_quality_report(spark, sf_dir):
     """IO8: one JSON report per series with before/after profiles."""
