@@ -1,10 +1,9 @@
 """Downstream model comparison (V19, V20) with pyspark.ml.
 
 Each preset pipeline yields one feature vector per file (V18); files carry a
-binary label; a 200-tree random forest is scored with stratified k-fold
-cross-validation (k = min(5, smallest class)).  Folds come from a row number
-per class over the file table (one row per file, not per sample); each fold
-is one distributed fit.
+binary label; a balanced 200-tree random forest is scored with stratified k-fold
+cross-validation (k = min(5, smallest class)).  Folds are dealt by
+``validate.deal_folds``; each fold is one distributed fit.
 """
 
 from __future__ import annotations
@@ -14,9 +13,12 @@ import math
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .validate import balanced, deal_folds
+
 
 def evaluate_table(tab: DataFrame, pipeline: str, label: str = "label", seed: int = 42, trees: int = 200) -> dict:
     feats = [c for c in tab.columns if c not in (label, "file", "pipeline")]
@@ -32,16 +34,15 @@ def evaluate_table(tab: DataFrame, pipeline: str, label: str = "label", seed: in
     k = min(5, int(min_class))
     # mean-impute and clean infinities per column, as before model fitting
     means = tab.agg(*[F.avg(c).alias(c) for c in feats]).first()
-    x = tab.select(label, *[F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)).alias(c)
-                            for c in feats])
-    w = Window.partitionBy(label).orderBy(F.xxhash64(*feats, F.lit(seed)))
-    x = x.withColumn("_fold", (F.row_number().over(w) - 1) % k)
-    x = VectorAssembler(inputCols=feats, outputCol="features").transform(x).select(
-        F.col(label).cast("double").alias("label"), "features", "_fold").persist()
+    x = tab.select("file", label, *[F.coalesce(F.col(c), F.lit(means[c] if means[c] is not None else 0.0)).alias(c)
+                                    for c in feats])
+    x = deal_folds(x, ["file"], k, label).withColumnRenamed("fold", "_fold")
+    x = materialize(VectorAssembler(inputCols=feats, outputCol="features").transform(x).select(
+        F.col(label).cast("double").alias("label"), "features", "_fold"))
     acc, f1, auc = [], [], []
     for fold in range(k):
-        train, test = x.where(F.col("_fold") != fold), x.where(F.col("_fold") == fold)
-        rf = RandomForestClassifier(numTrees=trees, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=1)
+        train, test = balanced(x.where(F.col("_fold") != fold), "label"), x.where(F.col("_fold") == fold)
+        rf = RandomForestClassifier(weightCol="weight", numTrees=trees, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=1)
         pred = rf.fit(train).transform(test)
         m = pred.agg(F.count_if(F.col("prediction") == F.col("label")).alias("ok"), F.count(F.lit(1)).alias("n"),
                      F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)).alias("tp"),
@@ -54,7 +55,6 @@ def evaluate_table(tab: DataFrame, pipeline: str, label: str = "label", seed: in
             auc.append(BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(pred))
         except Exception:  # noqa: BLE001  (a fold with one class has no AUC)
             auc.append(float("nan"))
-    x.unpersist()
 
     def ms(v):
         v = [a for a in v if not math.isnan(a)]

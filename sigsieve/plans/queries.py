@@ -359,6 +359,7 @@ def q_norm_compare(spark, sf_dir):
 # Validation and evaluation
 # ---------------------------------------------------------------------------
 from ..operators import evaluate as EV  # noqa: E402
+from ..operators import validate as VA  # noqa: E402
 from ..operators.stats_views import even_sample  # noqa: E402
 from ..sources.tables import WIDE_ORDER, signal_clean_wide  # noqa: E402
 
@@ -688,7 +689,7 @@ def q_ml_compare(spark, sf_dir):
     lab = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
                                                  (F.col("s_nationkey") % 2).cast("int").alias("label"))
     rows = []
-    for name in ("raw_aggregate", "simple_default", "robust_default"):
+    for name in ("raw_aggregate", "simple_default", "robust_default", "feature_wise"):
         vec = EV.file_vectors(PL.preset(sig, name).materialize())
         tab = vec.join(lab, on="l_suppkey", how="inner").withColumnRenamed("l_suppkey", "file")
         rows.append(evaluate_table(tab, name))
@@ -698,6 +699,35 @@ def q_ml_compare(spark, sf_dir):
     return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], schema)
 
 
+def _raw_and_processed(spark, sf_dir):
+    """Rows before and after the full pipeline, with the returned flag and the untouched price as targets."""
+    raw = signal_wide(spark, sf_dir)
+    done = PL.run_pipeline(raw, "Linear Interpolation", "MAD", "RobustScaler").materialize()
+    price = read(spark, sf_dir, "lineitem").select(*WIDE_ORDER, F.col("l_extendedprice").cast("double").alias("price"))
+    return raw.df.join(price, list(WIDE_ORDER)), done.df.join(price, list(WIDE_ORDER))
+
+
+@query("classification_check")
+def q_classification_check(spark, sf_dir):
+    """V7: logistic regression and forest on the return flag, raw against processed rows."""
+    raw, done = _raw_and_processed(spark, sf_dir)
+    return finalize(spark.createDataFrame(VA.classification_check(raw, done, WIDE_ORDER, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag"), VA.SCORES))
+
+
+@query("regression_check")
+def q_regression_check(spark, sf_dir):
+    """V8: forest on the untouched price, raw against processed rows."""
+    raw, done = _raw_and_processed(spark, sf_dir)
+    return finalize(spark.createDataFrame(VA.regression_check(raw, done, WIDE_ORDER, ["l_quantity", "l_discount", "l_tax"], "price", ["RandomForestReg"]), VA.SCORES))
+
+
+@query("regression_check_ridge")
+def q_regression_check_ridge(spark, sf_dir):
+    """V8: ridge on the untouched price, raw against processed rows."""
+    raw, done = _raw_and_processed(spark, sf_dir)
+    return finalize(spark.createDataFrame(VA.regression_check(raw, done, WIDE_ORDER, ["l_quantity", "l_discount", "l_tax"], "price", ["Ridge"]), VA.SCORES))
+
+
 @query("file_catalogue")
 def q_file_catalogue(spark, sf_dir):
     """IO4: multi-file scan, label from the directory name, rows per file."""
