@@ -298,6 +298,7 @@ def q_domain_infer(spark, sf_dir):
 # Stage audit and grids
 # ---------------------------------------------------------------------------
 from ..operators import audit as AU  # noqa: E402
+from ..operators import spatial as SP  # noqa: E402
 from . import grid as G  # noqa: E402
 
 AUDIT_OUT = ["feature"] + AU.AUDIT_COLS
@@ -311,6 +312,17 @@ def q_stage_audit(spark, sf_dir):
     return finalize(AU.stage_audit(sig, st).select("l_suppkey", "stage_no", "stage", *AUDIT_OUT))
 
 
+@query("stage_audit_spatial")
+def q_stage_audit_spatial(spark, sf_dir):
+    """The audit of every stage with each channel's partner and their gaze-space metrics (quantity and price
+    named as a pair of coordinates)."""
+    names = {"l_quantity": "Gaze_X", "l_extendedprice": "gaze_y", "l_discount": "Pupil X", "l_tax": "Validity"}
+    wide = signal_wide(spark, sf_dir)
+    sig = AU.with_raw(wide.with_df(wide.df.withColumnsRenamed(names), list(names.values())))
+    st = PL.stages(sig, "LOCF", "IQR", "RobustScaler", "None")
+    return finalize(AU.stage_audit_spatial(sig, st).select("l_suppkey", "stage_no", "stage", *AUDIT_OUT, "partner", *SP.SPATIAL_COLS))
+
+
 @query("stage_long")
 def q_stage_long(spark, sf_dir):
     """Selected indicators by stage, long form."""
@@ -442,9 +454,6 @@ def q_even_sample(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Gaze-space metrics on the coordinate-pair stand-in (quantity, price)
 # ---------------------------------------------------------------------------
-from ..operators import spatial as SP  # noqa: E402
-
-
 @query("spatial_metrics")
 def q_spatial(spark, sf_dir):
     """A5-A7, A9-A12 per supplier for the pair (l_quantity, l_extendedprice)."""

@@ -144,3 +144,25 @@ def test_plain_coercion_and_catalogue_flags(spark):
     assert len(cat) == 45 and all(r.relevant and r.eligible for r in cat)
     assert CI.column_catalogue(wide.limit(0)).where("eligible").count() == 0
 
+
+
+def test_partner_columns(spark):
+    from sigsieve.operators.spatial import partners
+
+    names = ["Gaze_X", "gaze_y", "Left X", "Left Y", "LEFT x", "left y", "eye_X", "EYE_y", "Pupil", "XY", "YX", "GAZE_Y"]
+    got = dict(map(tuple, partners(spark.createDataFrame(list(zip(names, range(len(names)))), "column string, ordinal int")).collect()))
+
+    def plain(f):  # rules in order, exact before lower case, the last of equal lower-case names
+        pairs = [("Gaze_X", "Gaze_Y"), ("Gaze_Y", "Gaze_X"), ("Gaze X", "Gaze Y"), ("Gaze Y", "Gaze X"), ("gaze_x", "gaze_y"), ("gaze_y", "gaze_x"),
+                 ("_X", "_Y"), ("_Y", "_X"), (" x", " y"), (" y", " x"), ("X", "Y"), ("Y", "X")]
+        low = {c.lower(): c for c in names}
+        for a, b in pairs:
+            if a in f:
+                c = f.replace(a, b)
+                if c in names:
+                    return c
+                if c.lower() in low:
+                    return low[c.lower()]
+        return None
+
+    assert got == {f: plain(f) for f in names if plain(f)} and got["Gaze_X"] == "GAZE_Y" and "Pupil" not in got
