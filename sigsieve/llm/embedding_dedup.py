@@ -32,6 +32,7 @@ from .components import components
 class Index:
     centroids: np.ndarray  # (lists, dim)
     books: np.ndarray  # (parts, codes, dim / parts)
+    apart: np.ndarray  # (lists, lists): distances between centroids
     reach: float
 
     def pad(self, x: np.ndarray) -> np.ndarray:
@@ -54,11 +55,15 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
 
 
-def _bisectors(x: np.ndarray, centres: np.ndarray, mine: np.ndarray) -> np.ndarray:
+def _apart(centres: np.ndarray) -> np.ndarray:
+    squares = (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(squares[:, None] + squares[None] - 2 * centres @ centres.T, 0)) + 1e-7  # above rounding: never too short
+
+
+def _bisectors(x: np.ndarray, index: Index, mine: np.ndarray) -> np.ndarray:
     """Distance of each unit vector to the bisector between its own centroid and every centroid (0 for its own)."""
-    d = (centres**2).sum(axis=1) - 2 * x @ centres.T
-    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(axis=-1), 1e-18))
-    t = (d - d[np.arange(len(x)), mine][:, None]) / (2 * apart[mine])
+    d = (index.centroids**2).sum(axis=1) - 2 * x @ index.centroids.T
+    t = (d - d[np.arange(len(x)), mine][:, None]) / (2 * index.apart[mine])
     t[np.arange(len(x)), mine] = 0
     return t
 
@@ -74,7 +79,7 @@ def fit(sample: np.ndarray, n_rows: int, least: float, list_rows: int = 512, par
     residual = np.pad(sample - centroids[mine], ((0, 0), (0, parts * width - dim)))
     books = np.stack([_kmeans(residual[:, p * width : (p + 1) * width], max(1, min(codes, len(sample) // 8)), 6, rng) for p in range(parts)])
     far = np.sqrt(2 - 2 * least)
-    return Index(centroids, books, float(far / 2 + 1e-6))  # more than rounding
+    return Index(centroids, books, _apart(centroids), float(far / 2 + 1e-6))  # more than rounding
 
 
 def _code(index: Index, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +93,7 @@ def _code(index: Index, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         piece = residual[:, p * width : (p + 1) * width]
         codes[:, p] = _nearest(piece, index.books[p])
         left += ((piece - index.books[p][codes[:, p]]) ** 2).sum(axis=1)
-    return mine, codes, np.sqrt(left), _bisectors(unit, index.centroids, mine) <= index.reach
+    return mine, codes, np.sqrt(left), _bisectors(unit, index, mine) <= index.reach
 
 
 def _components(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:

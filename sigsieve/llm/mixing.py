@@ -16,6 +16,8 @@ from .common import cut
 #: A token is a word, as in the rest of this package.
 TOKENS = r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)"
 STEPS = 50
+#: Copies of one row that one task writes out.
+COPIES_PER_TASK = 65_536
 
 
 def source_weights(tokens: DataFrame, entropy_share: float | None, repetition_limit: float, budget_tokens: int | None) -> DataFrame:
@@ -59,21 +61,33 @@ def source_weights(tokens: DataFrame, entropy_share: float | None, repetition_li
                       F.round(F.round(weight, 12) * F.col("budget"), 0).cast("bigint").alias("quota"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, source, n_tokens) with `copy`, numbering equal rows from 0.  They are counted before any shuffle, and
+    many copies are written out again by many tasks."""
+    counted = rows.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("n"))
+    parts = counted.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES_PER_TASK})")))
+    parts = parts.repartition("doc_id", "source", "n_tokens", "part")
+    numbers = F.expr(f"sequence(part * {COPIES_PER_TASK}, least(n, (part + 1) * {COPIES_PER_TASK}) - 1)")
+    return parts.select("doc_id", "source", "n_tokens", F.explode(numbers).alias("copy"))
+
+
 def mix(docs: DataFrame, entropy_share: float | None = 0.95, repetition_limit: float = 4.0, budget_tokens: int | None = None,
         block_docs: int = 256, seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, block, place): the documents to read, each source in blocks 0, 1, ... of each epoch.
 
     A source's null name is a source of its own.  Null or wordless texts have no tokens and cost nothing; a source
-    without any token has weight 0 and gives no rows.  Repeated rows are documents of their own.  Read a block in the
-    order of `place`.  Running token sums go over documents inside a block, blocks inside a span of 4,096 blocks, and
+    without any token has weight 0 and gives no rows.  Repeated rows are documents of their own: they are counted, and
+    the copy number enters the hash, as the number of tokens does without a doc_id, so neither a repeated id nor rows
+    without one meet in one block.  Read a block in the order of `place`.  Running token sums go over documents inside a block, blocks inside a span of 4,096 blocks, and
     spans inside an epoch, so a hot source is summed by many tasks.
     """
-    rows = cut(docs.select("doc_id", "source", F.expr(TOKENS).cast("bigint").alias("n_tokens")))
+    rows = cut(_copies(docs.select("doc_id", "source", F.expr(TOKENS).cast("bigint").alias("n_tokens"))))
     weights = source_weights(rows, entropy_share, repetition_limit, budget_tokens)
     plan = cut(weights.select(F.col("source").alias("_source"), "n_docs", "total", "quota"))
     same = F.col("source").eqNullSafe(F.col("_source"))
     epochs = rows.join(plan, same).drop("_source").withColumn("epoch", F.explode(F.expr("sequence(0L, div(quota, total))")))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
+                            F.when(F.col("doc_id").isNotNull() & (F.col("copy") == 0), "").otherwise(F.concat_ws("|", F.lit(""), "n_tokens", "copy"))))
     epochs = epochs.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
     epochs = epochs.withColumn("block", F.expr(f"pmod(_h, cast(ceil(n_docs / {block_docs}D) as bigint))"))
     epochs = epochs.withColumn("left_over", F.expr("quota - epoch * total")).select(
@@ -97,7 +111,8 @@ def mix_sql(docs_cte: str) -> str:
     """DuckDB for mix() with its defaults.  docs_cte: common table expressions that end with one named docs."""
     return rf"""
 WITH RECURSIVE {docs_cte},
-tok AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM docs),
+raw AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM docs),
+tok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, n_tokens) - 1 AS copy FROM raw),
 src AS (SELECT source, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS total FROM tok GROUP BY source HAVING sum(n_tokens) > 0),
 tot AS (SELECT CAST(sum(total) AS BIGINT) AS everything, CAST(sum(total) AS DOUBLE) AS budget, count(*) AS n_src FROM src),
 lst AS (SELECT list(total / CAST(everything AS DOUBLE) ORDER BY source NULLS FIRST) AS p FROM src, tot),
@@ -121,10 +136,11 @@ ex AS (
 zed AS (SELECT a, list_sum(list_transform(p, lambda x: pow(x, a))) AS z FROM ex, lst),
 plan AS (SELECT source, n_docs, total, CAST(round(round(pow(total / CAST(everything AS DOUBLE), a) / z, 12) * budget, 0) AS BIGINT) AS quota FROM src, tot, zed),
 ep AS (
-  SELECT t.doc_id, t.source, t.n_tokens, n_docs, quota, total, unnest(range(0, quota // total + 1)) AS epoch
+  SELECT t.doc_id, t.source, t.n_tokens, t.copy, n_docs, quota, total, unnest(range(0, quota // total + 1)) AS epoch
   FROM tok t JOIN plan p ON t.source IS NOT DISTINCT FROM p.source),
 hashed AS (
-  SELECT *, CAST('0x' || substr(md5('42|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM ep),
+  SELECT *, CAST('0x' || substr(md5('42|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '')
+    || CASE WHEN doc_id IS NOT NULL AND copy = 0 THEN '' ELSE '|' || n_tokens || '|' || copy END), 1, 15) AS BIGINT) AS h FROM ep),
 blocked AS (SELECT *, h % CAST(ceil(n_docs / 256.0) AS BIGINT) AS block FROM hashed),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source, epoch, block ORDER BY h, doc_id, n_tokens) AS place,

@@ -155,6 +155,28 @@ gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone F
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.good AND b.good AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS root, vec_id AS u FROM v UNION SELECT r.root, l.w FROM r JOIN l ON r.u = l.u),
+c AS (SELECT u AS vec_id, min(root) AS component_id FROM r GROUP BY u),
+n AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5(b[i:i + 399]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+isle AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM (
+  SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT rid, min(i) AS a, max(i) + 400 AS z FROM isle GROUP BY rid, k),
+cuts AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM span GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(
+    list_transform(list_zip(list_prepend(1, z), list_append(a, octet_length(b) + 1)), lambda s: b[s[1]:s[2] - 1]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN cuts USING (rid)""",
     "op9_decontaminate": f"""
 WITH iw AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
 sh AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM iw WHERE k > 0)),

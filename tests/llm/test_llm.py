@@ -127,6 +127,18 @@ def test_suffix_dedup(spark, size, hot):
     assert _sorted(suffix_dedup.digests(df, size, hot).collect()) == _sorted(_bytes_brute(rows, size))
 
 
+def test_suffix_dedup_equals_its_sql(spark):
+    import duckdb
+
+    from sigsieve.llm.queries import SQL
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = suffix_dedup.digests(docs).collect()
+    assert _sorted(got) == _sorted(con.execute(SQL["op7_suffix_dedup"]).fetchall()) and any(r.n_removed for r in got)
+
+
 def test_multikey_order_is_lexicographic():
     keys = np.random.default_rng(0).integers(0, 3, (500, 6)).astype(np.uint64)
     got = keys[suffix_dedup.multikey_order(keys)].tolist()
@@ -282,12 +294,16 @@ def test_mixing_meets_its_targets(spark):
 def test_mixing_equals_its_sql(spark):
     import duckdb
 
-    docs = spark.createDataFrame([(i, "t " * (1 + i % 9), "big" if i % 10 else f"s{i // 10 % 4}") for i in range(3000)], DOCS + ", source string")
-    frame = docs.toPandas()
-    con = duckdb.connect()
-    con.register("frame", frame)
-    want = con.execute(mixing.mix_sql("docs AS (SELECT * FROM frame)")).fetchall()
-    assert _sorted(mixing.mix(docs).collect()) == _sorted(want)
+    rows = [(i, "t " * (1 + i % 9), "big" if i % 10 else f"s{i // 10 % 4}") for i in range(3000)]
+    for more in ([], [(7, "t " * 5, "big")] * 900 + [(None, "t " * (1 + i % 3), "big") for i in range(900)]):
+        docs = spark.createDataFrame(rows + more, DOCS + ", source string")
+        con = duckdb.connect()
+        con.register("frame", docs.toArrow())
+        want = con.execute(mixing.mix_sql("docs AS (SELECT * FROM frame)")).fetchall()
+        got = mixing.mix(docs).collect()
+        assert _sorted(got) == _sorted(want)
+    blocks = Counter((r.source, r.epoch, r.block) for r in got)
+    assert max(blocks.values()) < 400  # 1800 rows of one id or of none are dealt like any others
 
 
 # ---- 3
