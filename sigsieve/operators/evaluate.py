@@ -141,8 +141,8 @@ def degrade(sig: Signal, spec, seed: int = 42, row_id: str = "pos") -> Signal:
 def degradation_matrix(sig: Signal, seed: int = 42, row_id: str = "event_id") -> DataFrame:
     """Profile + rule recommendation of every scenario (scenario = key)."""
     from .recommend import recommend_rules
-    parts = [({"scenario": name}, degrade(sig, spec, seed, row_id).materialize()) for name, spec in SCENARIOS]
-    u = union_labelled(parts).materialize()
+    parts = [({"scenario": name}, degrade(sig, spec, seed, row_id)) for name, spec in SCENARIOS]
+    u = union_labelled(parts).materialize()  # written once
     return recommend_rules(P.profile_ev(u))
 
 

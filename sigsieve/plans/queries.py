@@ -602,6 +602,40 @@ def q_quality_report(spark, sf_dir):
     return SK.quality_report(P.profile(raw), P.profile(done), ["event_type"], "Academic reading / cognitive task")
 
 
+@query("quality_report_full")
+def q_quality_report_full(spark, sf_dir):
+    """IO8: the report of every supplier with all six parts, written as JSON, read back and unnested by channel."""
+    raw = signal_wide(spark, sf_dir)
+    done = PL.run_pipeline(raw, "Linear Interpolation", "MAD", "RobustScaler").materialize()
+    u = P.profile(AU.union_labelled([({"side": "before"}, raw), ({"side": "after"}, done)]))
+    before, after = (u.where(F.col("side") == side).drop("side") for side in ("before", "after"))
+    rec = before.select("l_suppkey", "feature", F.lit("Linear Interpolation").alias("missing_method"), F.lit("MAD").alias("outlier_method"),
+                        F.lit("RobustScaler").alias("normalization_method"), F.lit("None").alias("smoothing_method"))
+    report = SK.full_report(before, after, rec, ["l_suppkey"], "Academic reading / cognitive task", PL.DEFAULT)
+    path = CI.scratch_path(spark, "report")
+    SK.write_json(report, path)
+    back = SK.read_report(spark, path, report.schema)
+    x = back.select("l_suppkey", "domain", F.col("domain_profile.weights.completeness").alias("weight_completeness"),
+                    F.element_at("domain_profile.outlier_priority", 1).alias("first_outlier_method"), F.col("pipeline.settings.mad_thresh").alias("mad_thresh"),
+                    F.inline(F.arrays_zip("comparison", "before_profile", "after_profile", "pipeline.methods")))
+    return finalize(x.select("l_suppkey", "domain", "weight_completeness", "first_outlier_method", "mad_thresh", "comparison.*",
+                             F.col("before_profile.longest_missing_run").alias("longest_before"), F.col("after_profile.longest_missing_run").alias("longest_after"),
+                             F.col("methods.missing_method").alias("missing_method")))
+
+
+@query("evaluation_tables")
+def q_evaluation_tables(spark, sf_dir):
+    """IO9: five evaluation tables written together and read back; their rows and columns."""
+    path = CI.scratch_path(spark, "evaluation")
+    names = ("eval_profile", "recommend_summary", "recommend_crosstab", "degradation_matrix", "file_vectors")
+    SK.write_evaluation({n: QUERIES[n](spark, sf_dir) for n in names}, path)
+    out = None
+    for name, df in sorted(SK.read_evaluation(spark, path).items()):
+        one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return finalize(out)
+
+
 def masked_benchmark(spark, sf_dir):
     """Mask 5/10/20 % of each channel of the complete (clean) rows by a
     seeded hash, impute, RMSE on the masked cells per supplier, rate, method."""
