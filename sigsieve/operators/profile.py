@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clamp, clamp01, div, round_half_even, safe
@@ -29,24 +29,30 @@ SUBSCORES = ("completeness", "continuity", "plausibility", "distribution", "stab
 
 
 def long_carry(sig: Signal, prefix_sum: bool = False) -> DataFrame:
-    """Row data in long form with carry state: keys, _f, pos, _n, _x, _pp, _pvv, _vr, _m[, _ps]."""
+    """Row data in long form with carry state: keys, _f, pos, _n, _x, _pp, _pvv, _vr, _m[, _ps, _y].  _y is the value
+    less the channel's mean in the series and _ps its prefix sum, so a large level costs no digits."""
     keys = list(sig.keys)
-    d = carry_valid(sig.df, keys, sig.features, prefix_sum=prefix_sum)
+    df, centre = sig.df, None
+    if prefix_sum:
+        centre = [f"_c{i}" for i in range(len(sig.features))]
+        mid = (df.groupBy(*keys) if keys else df.groupBy()).agg(*[F.avg(c).alias(n) for n, c in zip(centre, sig.features)])
+        df = attach(df, mid, keys, bound=sig.n_series + 1)
+    d = carry_valid(df, keys, sig.features, prefix_sum=prefix_sum, centre=centre)
     structs = []
     for i, c in enumerate(sig.features):
         s = [F.lit(i).alias("_f"), F.col(c).cast("double").alias("_x"), F.col(f"_pv{i}.p").alias("_pp"),
              F.col(f"_pv{i}.v").alias("_pvv"), F.col(f"_vr{i}").alias("_vr"), F.col(f"_m{i}").alias("_m")]
         if prefix_sum:
-            s.append(F.col(f"_ps{i}").alias("_ps"))
+            s += [F.col(f"_ps{i}").alias("_ps"), (F.col(c).cast("double") - F.col(centre[i])).alias("_y")]
         structs.append(F.struct(*s))
     return d.select(*keys, "pos", "_n", F.inline(F.array(*structs)))
 
 
-def _moments(x: str = "_x") -> list[Column]:
+def _moments(x: str = "_x", centred: str = "_x") -> list[Column]:
     return [
-        F.count(x).alias("_m"), F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"),
-        F.stddev_pop(x).alias("_sdp"), F.min(x).alias("_min"), F.max(x).alias("_max"),
-        F.skewness(x).alias("_g1"), F.kurtosis(x).alias("_g2"),
+        F.count(x).alias("_m"), F.avg(x).alias("_mean"), F.stddev_samp(centred).alias("_sd"),
+        F.stddev_pop(centred).alias("_sdp"), F.min(x).alias("_min"), F.max(x).alias("_max"),
+        F.skewness(centred).alias("_g1"), F.kurtosis(centred).alias("_g2"),
     ]
 
 
@@ -76,7 +82,7 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
     valid = F.col("_x").isNotNull()
     base = long.groupBy(*by).agg(
         F.max("_n").alias("_n"),
-        *_moments(),
+        *_moments("_x", "_y"),
         F.max(F.when(valid, gap)).alias("_gmax"),
         F.count_if(valid & (gap > 0)).alias("_gruns"),
         F.max(F.when(valid, F.col("pos"))).alias("_lastp"),
@@ -112,16 +118,16 @@ def profile(sig: Signal, weights: Sequence[float] = DEFAULT_WEIGHTS, with_correl
 def drift_table(long: DataFrame, by: Sequence[str]) -> DataFrame:
     """Range of the trailing rolling mean over the compacted series.
 
-    Window w = max(10, int(0.08 m)), min periods max(5, w // 3); the per-group
-    w is not a literal, so the rolling sum is a prefix-sum difference with the
-    row w ranks earlier found by an equi-join on (series, feature, rank).
+    Window w = max(10, int(0.08 m)), min periods max(5, w // 3).  The rolling sum is
+    the difference of two prefix sums; the one w ranks earlier is the row before among
+    the ranks equal modulo w, so one window finds it, and a long series is dealt over
+    w groups.
     """
     by = list(by)
     v = long.where(F.col("_x").isNotNull()).select(*by, "_vr", "_ps", "_m")
     w = F.greatest(F.lit(10), F.floor(F.col("_m") * 0.08).cast("long"))
-    v = v.withColumn("_w", w)
-    lag = v.select(*by, (F.col("_vr") + F.col("_w")).alias("_vr"), F.col("_ps").alias("_psl"))
-    j = v.join(lag, on=by + ["_vr"], how="left")
+    v = v.withColumn("_w", w).withColumn("_o", F.col("_vr") % F.col("_w"))
+    j = v.withColumn("_psl", F.lag("_ps").over(Window.partitionBy(*by, "_o").orderBy("_vr")))
     minp = F.greatest(F.lit(5), (F.col("_w") / 3).cast("long"))
     roll = F.when(F.col("_vr") >= F.col("_w"), (F.col("_ps") - F.coalesce(F.col("_psl"), F.lit(0.0))) / F.col("_w")) \
         .when(F.col("_vr") >= minp, F.col("_ps") / F.col("_vr"))

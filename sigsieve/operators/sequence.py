@@ -97,14 +97,15 @@ def with_pos(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_blocks:
 
 
 def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
-                prefix_sum: bool = False) -> DataFrame:
+                prefix_sum: bool = False, centre: Sequence[str] | None = None) -> DataFrame:
     """Per row and feature i, add the state that crosses block edges.
 
     ``_pv{i}``  struct(p, v) of the last valid row strictly before this row
     ``_nv{i}``  struct(p, v) of the first valid row strictly after this row
     ``_vr{i}``  valid rows at or before this row (rank in the compacted series)
     ``_m{i}``   valid rows in the series
-    ``_ps{i}``  (optional) prefix sum of valid values at or before this row
+    ``_ps{i}``  (optional) prefix sum of valid values at or before this row, less the
+                column ``centre[i]`` each, where given
     Needs ``pos`` and, where series were cut, ``_blk`` (see ``with_pos``).
     """
     keys = list(keys)
@@ -119,6 +120,9 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     def pv(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col("pos").alias("p"), F.col(c).cast("double").alias("v")))
 
+    def summand(i, c):
+        return F.col(c).cast("double") - F.col(centre[i]) if centre else F.col(c).cast("double")
+
     local_cols, summ_aggs = [], []
     for i, c in enumerate(features):
         local_cols += [F.last(pv(c), True).over(w_prev).alias(f"_lp{i}"),
@@ -126,8 +130,8 @@ def carry_valid(df: DataFrame, keys: Sequence[str], features: Sequence[str],
                        F.count(c).over(w_cum).alias(f"_lc{i}")]
         summ_aggs += [F.max(pv(c)).alias(f"_bl{i}"), F.min(pv(c)).alias(f"_bf{i}"), F.count(c).alias(f"_bc{i}")]
         if prefix_sum:
-            local_cols.append(F.sum(F.col(c).cast("double")).over(w_cum).alias(f"_ls{i}"))
-            summ_aggs.append(F.sum(F.col(c).cast("double")).alias(f"_bs{i}"))
+            local_cols.append(F.sum(summand(i, c)).over(w_cum).alias(f"_ls{i}"))
+            summ_aggs.append(F.sum(summand(i, c)).alias(f"_bs{i}"))
     local = df.select("*", *local_cols)
     if not blocked:
         return _whole_series(local, keys, features, prefix_sum)

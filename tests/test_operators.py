@@ -166,3 +166,25 @@ def test_partner_columns(spark):
         return None
 
     assert got == {f: plain(f) for f in names if plain(f)} and got["Gaze_X"] == "GAZE_Y" and "Pupil" not in got
+
+
+@pytest.mark.parametrize("n_blocks", [1, 5])
+def test_drift_of_a_small_wave_on_a_large_level(spark, n_blocks):
+    from sigsieve.operators import profile as P
+    from sigsieve.signal import make_signal
+
+    rng = np.random.default_rng(7)
+    wave = 1e-3 * (np.sin(np.arange(20_000) / 3000) + 0.2 * rng.normal(size=20_000))
+    x = 1e9 + np.where(rng.random(20_000) < 0.1, np.nan, wave)
+    df = spark.createDataFrame([(i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "t long, x double")
+    sig = make_signal(df, [], ["t"], ["x"], n_blocks=n_blocks)
+    got = P.profile(sig).first().drift_score
+    v = x[~np.isnan(x)] - 1e9  # exact: the level is a whole number of steps
+    w = max(10, int(len(v) * 0.08))
+    low = max(5, w // 3)
+    sums = np.concatenate([[0], np.cumsum(v)])
+    rolling = [(sums[i] - sums[max(0, i - w)]) / min(i, w) for i in range(low, len(v) + 1)]
+    want = (max(rolling) - min(rolling)) / (4 * v.std(ddof=1))
+    assert abs(got - want) < 1e-6
+    plan = P.drift_table(P.long_carry(sig, prefix_sum=True), ["_f"])._jdf.queryExecution().optimizedPlan().toString()
+    assert n_blocks > 1 or " Join LeftOuter" not in plan.replace("Join Cross", "")
