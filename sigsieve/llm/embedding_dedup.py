@@ -155,18 +155,20 @@ def _near(distinct: DataFrame, dim: int, least: float, sample_rows: int, block_r
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_of, held = None, None
         parts, _, width = sent.value.books.shape
+        # a row times (piece, 1, |piece|^2) is the squared distance of the piece to that code
+        books = [np.column_stack([-2 * b, (b**2).sum(axis=1), np.ones(len(b))]).astype(np.float32) for b in sent.value.books]
 
         def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
             x, own, q = held["unit"], column(rows, "own").to_numpy(), _unit(_matrix(column(rows, "vector"), dim))
             node, copies = column(rows, "node").to_numpy(), column(rows, "copies").to_numpy()
-            residual = sent.value.pad(q - sent.value.centroids[held["list"]])
-            lookup = np.zeros((len(q), len(x)), np.float32)
+            residual = sent.value.pad(q - sent.value.centroids[held["list"]]).astype(np.float32)
+            lookup = np.zeros((len(x), len(q)), np.float32)
             for p in range(parts):
-                book = sent.value.books[p]
                 piece = residual[:, p * width : (p + 1) * width]
-                table = ((piece[:, None] - book[None]) ** 2).sum(axis=-1).astype(np.float32)
-                lookup += table[:, held["codes"][:, p]]
-            i, j = np.nonzero(np.sqrt(lookup) <= held["off"][None] + far + 1e-4)
+                table = books[p] @ np.vstack([piece.T, np.ones((1, len(q)), np.float32), (piece**2).sum(axis=1)[None]])
+                lookup += table[held["codes"][:, p]]
+            # the slack of 1e-4 is far above what single precision loses
+            j, i = np.nonzero(lookup <= ((held["off"] + far + 1e-4) ** 2).astype(np.float32)[:, None])
             cosine = np.concatenate([np.einsum("ij,ij->i", q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
             keep = (cosine >= least) & (node[i] != held["node"][j])
             i, j = i[keep], j[keep]
@@ -194,7 +196,7 @@ def _near(distinct: DataFrame, dim: int, least: float, sample_rows: int, block_r
                     for k, probes in enumerate(column(rows, "probes").to_pylist()):
                         seen[k, probes] = True
                     new = {"unit": _unit(_matrix(column(rows, "vector"), dim)), "node": column(rows, "node").to_numpy(), "copies": column(rows, "copies").to_numpy(),
-                           "codes": np.frombuffer(b"".join(column(rows, "codes").to_pylist()), np.uint8).reshape(-1, parts), "off": column(rows, "off").to_numpy(), "probes": seen}
+                           "codes": np.frombuffer(b"".join(column(rows, "codes").to_pylist()), np.uint8).reshape(-1, parts).astype(np.intp), "off": column(rows, "off").to_numpy(), "probes": seen}
                     held = {k: np.concatenate([held[k], v]) for k, v in new.items()} | {"list": lst} if held else new | {"list": lst}
                 elif held:
                     for x in range(0, rows.num_rows, 512):
