@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import r6
 from ..operators import profile as P
 from ..operators import recommend as R
+from ..session import materialize
 from ..sources.tables import EVENTS_GAP_RULE, EVENTS_SPIKE_RULE, read, signal_events, signal_wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,6 +499,13 @@ def q_catalogue(spark, sf_dir):
     return finalize(CI.column_catalogue(_dirty(spark, sf_dir)))
 
 
+@query("column_catalogue_named")
+def q_catalogue_named(spark, sf_dir):
+    """The catalogue where names look like ids or are relevant, without the id-like ones."""
+    names = ["Timestamp", "Gaze event", "Participant", "Pupil Diameter Right"]
+    return finalize(CI.column_catalogue(_dirty(spark, sf_dir).toDF(*names), include_ids=False))
+
+
 @query("column_summary")
 def q_column_summary(spark, sf_dir):
     """Type and missing % per column of the typed table."""
@@ -692,7 +700,7 @@ def q_pipeline_rule(spark, sf_dir):
 def q_override(spark, sf_dir):
     """A manual override (tax channel: LOCF, no outlier step) over the
     scored recommendation; confidence and rationale are kept."""
-    rec = R.recommend_adaptive(_wide_profile(spark, sf_dir), ["l_suppkey"])
+    rec = materialize(R.recommend_adaptive(_wide_profile(spark, sf_dir), ["l_suppkey"]))
     ov = rec.where(F.col("feature") == "l_tax").select(
         "l_suppkey", "feature", F.lit("LOCF").alias("missing_method"), F.lit("None").alias("outlier_method"))
     out = R.apply_overrides(rec, ov, ["l_suppkey"])
