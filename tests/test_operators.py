@@ -129,8 +129,10 @@ def test_no_fill_is_replaced_by_another(spark):
     assert fills["Linear Interpolation"] == 150.0 and abs(fills["MICE"] - 400) < 1 and fills["KNN Imputation"] == 400.0
     with pytest.raises(ValueError):
         X.impute(sig, "no such method")
-    with pytest.raises(NotImplementedError):
-        smooth(sig, "Fourier")
+    with pytest.raises(ValueError):
+        smooth(sig, "no such method")
+    smoothed = {m: [r.w for r in smooth(sig, m).df.orderBy("t").collect()] for m in ("Savitzky-Golay", "Butterworth", "Fourier")}
+    assert len({tuple(v) for v in smoothed.values()}) == 3  # each runs as itself
 
 
 def test_plain_coercion_and_catalogue_flags(spark):
