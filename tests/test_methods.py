@@ -90,3 +90,16 @@ def test_isolation_forest_masks_the_planted_share(spark):
     assert out.df.where("k = 'tiny'").count() == 4
     again = isolation_forest_mask(sig, contamination=0.05).df.where("v IS NULL").count()
     assert again == out.df.where(F.col("v").isNull()).count()
+
+
+def test_forest_of_whole_series_equals_the_drawn_and_joined_one(spark, monkeypatch):
+    from sigsieve.operators import isoforest
+
+    rng = np.random.default_rng(8)
+    rows = [(k, i, None if i % 11 == 0 else float(rng.normal()), float(rng.integers(0, 6)), 1.0) for k, n in (("a", 700), ("b", 90), ("c", 1)) for i in range(n)]
+    sig = make_signal(spark.createDataFrame(rows, "k string, t long, x double, y double, flat double"), ["k"], ["t"], ["x", "y", "flat"])
+    found = {}
+    for limit in (1 << 16, 300, 0):  # all series whole, some, none
+        monkeypatch.setattr(isoforest, "ROWS_WHOLE", limit)
+        found[limit] = sorted(map(tuple, isolation_forest_mask(sig, trees=30, sample=64).df.select("k", "pos", "x", "y", "flat").collect()), key=repr)
+    assert found[1 << 16] == found[300] == found[0] and sum(r[2] is None for r in found[0]) > 64 + 9
