@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import attach
 from ..operators import transform as X
-from ..operators.sequence import carry_valid
 from ..signal import Signal
 from .pipeline import DEFAULT, MV_FIRST, OUT_FIRST, Settings, _mv0, _out0, smooth
 
@@ -137,13 +136,7 @@ def _stage(sig: Signal, rows: DataFrame, per_series: DataFrame, method: str, lig
 
 
 def _fills(sig: Signal, df: DataFrame, used):
-    keys, feats = list(sig.keys), list(sig.features)
-    if {"LOCF", "Linear Interpolation"} & set(used):
-        df = carry_valid(df, keys, feats)
-    mean, median = "Mean Imputation" in used, "Linear Interpolation" in used
-    if mean or median:
-        df = attach(df, X.series_stats(sig, moments=mean, quantiles={"_med": 0.5} if median else None), keys, bound=sig.n_series + 1)
-    return df, [{m: X.fill_expr(c, i, m) for m in used} for i, c in enumerate(feats)]
+    return X.fills(sig, used)
 
 
 def _masks(sig: Signal, df: DataFrame, used):

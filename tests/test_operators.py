@@ -190,3 +190,18 @@ def test_drift_of_a_small_wave_on_a_large_level(spark, n_blocks):
     assert abs(got - want) < 1e-6
     plan = P.drift_table(P.long_carry(sig, prefix_sum=True), ["_f"])._jdf.queryExecution().optimizedPlan().toString()
     assert n_blocks > 1 or " Join LeftOuter" not in plan.replace("Join Cross", "")
+
+
+def test_rates_blanked_together_equal_one_at_a_time(spark):
+    rows = spark.range(900).selectExpr("id AS t", "cast(id % 3 AS string) AS k", "IF(id % 7 = 0, NULL, cast(id AS double)) AS a", "IF(id < 850, NULL, 1.0D) AS b")
+    sig = make_signal(rows, ["k"], ["t"], ["a", "b"], checkpoint=False)
+    plan = {"a5": ("a", 0.05, 1), "a40": ("a", 0.4, 2), "b20": ("b", 0.2, 1), "all": ("a", 1.0, 3), "few": ("b", 0.001, 4)}
+    df, new = EV.blanked(sig, plan)
+    got = {(r.k, r.pos): r for r in df.select("k", "pos", *[c.alias(n) for n, c in new.items()]).collect()}
+    assert len(got) == 900
+    for name, (f, rate, seed) in plan.items():
+        one = EV.inject_missing(sig.select_features([f]), rate, seed).df.select("k", "pos", f).collect()
+        assert {(r.k, r.pos): r[f] for r in one} == {at: r[name] for at, r in got.items()}
+        m = {r.k: r.m for r in sig.df.groupBy("k").agg(F.count(f).alias("m")).collect()}
+        for k, n in m.items():
+            assert sum(r[name] is not None for r in got.values() if r.k == k) == n - int(n * rate)
