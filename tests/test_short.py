@@ -67,3 +67,15 @@ def test_profile_of_short_series_keeps_no_copy_of_the_rows(sig):
 def test_fits_take_parts_by_rows(spark):
     df = spark.range(60_000).selectExpr("id", "id % 5 as fold").coalesce(1)
     assert VA.for_fits(df, ["id"]).rdd.getNumPartitions() == 3
+
+
+def test_no_statistics_where_nothing_needs_them(sig, monkeypatch):
+    refuse = lambda *a, **k: pytest.fail("statistics computed that nothing uses")
+    want = _rows(X.impute(sig, "Linear Interpolation").df)
+    with monkeypatch.context() as m:
+        m.setattr(X, "series_stats", refuse)
+        full = X.impute(sig, "Linear Interpolation").materialize()  # channels without any value are 0 by rule
+        assert X.filled(full) is full and _rows(full.df) == want
+        empty = [r for r in full.df.where("k = 'empty'").collect()]
+        assert len(empty) == 30 and {r.Gaze_X for r in empty} == {0.0}
+    assert X.filled(sig).df.where("Gaze_X is null").count() == 0
