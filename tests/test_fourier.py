@@ -54,3 +54,17 @@ def test_gaps_are_closed_first_and_pipeline_runs_it(spark):
     assert np.allclose(got, _reference(closed, 0.08), atol=1e-9)
     empty = sig.with_df(sig.df.where(F.lit(False)))
     assert fourier.fourier_lowpass(empty).df.count() == 0
+
+
+def test_short_series_are_transformed_in_groups_without_a_join(spark, monkeypatch):
+    lengths = {"a": 1, "b": 40, "c": 97, "empty": 12}
+    rows = [(k, t, None if k == "empty" or t % 7 == 3 else float((t * 37) % 11), str(t)) for k, n in lengths.items() for t in range(n)]
+    sig = make_signal(spark.createDataFrame(rows, "s string, t long, x double, note string"), ["s"], ["t"], ["x"])
+    read = lambda d: {(r.s, r.t): (r.x, r.note, r.pos) for r in d.collect()}
+    done = fourier.fourier_lowpass(sig, 0.08).df
+    assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
+    got = read(done)
+    monkeypatch.setattr(fourier.short, "SHORT_ROWS", -1)
+    want = read(fourier.fourier_lowpass(sig, 0.08).df)
+    assert set(got) == set(want) and len(got) == len(rows) and got["empty", 3][0] is None
+    assert all(got[k][1:] == want[k][1:] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in got if k[0] != "empty")
