@@ -79,3 +79,14 @@ def test_no_statistics_where_nothing_needs_them(sig, monkeypatch):
         empty = [r for r in full.df.where("k = 'empty'").collect()]
         assert len(empty) == 30 and {r.Gaze_X for r in empty} == {0.0}
     assert X.filled(sig).df.where("Gaze_X is null").count() == 0
+
+
+def test_profile_of_long_series_takes_its_quantiles_from_counted_values(sig, monkeypatch):
+    want = _rows(P.profile(sig, extras=True))
+    plain = P.exact_quantiles
+    monkeypatch.setattr(short, "SHORT_ROWS", -1)
+    monkeypatch.setattr(P, "exact_quantiles", lambda *a, **k: pytest.fail("quantiles of the rows, not of their values"))
+    assert _rows(P.profile(sig, extras=True)) == want
+    monkeypatch.setattr(P, "exact_quantiles", plain)
+    monkeypatch.setattr(P, "DIRECT_PERCENTILE_ROWS", 3)  # too many values for one map: the rows' quantiles
+    assert _rows(P.profile(sig, extras=True)) == want
