@@ -14,15 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import blocks as B
 from ..operators.evaluate import before_after
 from ..operators.recommend import DOMAINS
 from ..signal import Signal
 
 
-def processed_table(original: DataFrame, processed: Signal, on) -> DataFrame:
+def processed_table(original: DataFrame | Signal, processed: Signal, on, columns=None) -> DataFrame:
     """IO6: all original columns, the selected channels replaced (join on key).  A row that was processed takes the
-    processed value also where that is NULL; a row that wasn't keeps its own."""
+    processed value also where that is NULL; a row that wasn't keeps its own.  ``original`` may be a signal over the blocks of
+    ``processed``, of which ``columns`` are taken and ``on`` are the keys and the order: then they are joined inside the blocks."""
     on = list(on)
+    if isinstance(original, Signal):
+        return B.paired(original, processed, on, {c: ("r" if c in processed.features else "l", c) for c in columns}, outer=True)
     repl = processed.df.select(*on, F.lit(True).alias("_hit"), *[F.col(f).alias(f"_new_{f}") for f in processed.features])
     j = original.join(repl, on=on, how="left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in processed.features else F.col(c)

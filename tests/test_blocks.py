@@ -129,3 +129,53 @@ def test_benchmark_has_all_five_imputers(spark, monkeypatch):
 def test_mice_on_blocks_equals_rows(sig, written):
     got, want = X.impute(sig, "MICE"), X.impute(written, "MICE")
     assert got.plan is not None and _rows(got.df) == _rows(want.df)
+
+
+@pytest.mark.parametrize("make", [lambda s: X.mask_outliers(s, "Isolation Forest"), lambda s: PL.smooth(s, "Butterworth"), lambda s: PL.smooth(s, "Fourier"),
+                                  lambda s: PL.smooth(s, "Savitzky-Golay"), lambda s: PL.preset(s, "feature_wise"), lambda s: PL.preset(s, "robust_default")],
+                         ids=["forest", "butterworth", "fourier", "savgol", "feature_wise", "robust"])
+def test_method_on_blocks_equals_rows(sig, written, make):
+    got = make(sig)
+    assert got.plan is not None and _rows(got.df.select("k", "t", *FEATS)) == _rows(make(written).df.select("k", "t", *FEATS))
+
+
+def test_replay_on_blocks_equals_rows(spark, sig, written, monkeypatch):
+    """Every method, with settings of its own, by series and channel; a series without a definition stays as it is."""
+    import json
+
+    from sigsieve.plans import replay as RE
+
+    per = {"a": (("KNN Imputation", "Isolation Forest", "StandardScaler", "None", {"knn_neighbors": 3}), ("MICE", "Winsorization", "None", "Fourier", {"winsor_q": 0.1}),
+                 ("None", "None", "None", "None", {})),
+           "b": (("Mean Imputation", "Z-Score", "MinMaxScaler", "Savitzky-Golay", {"z_thresh": 1.5, "sg_window": 6}), ("LOCF", "MAD", "None", "Butterworth", {"operation_order": PL.OUT_FIRST}),
+                 ("Linear Interpolation", "IQR", "RobustScaler", "None", {"iqr_factor": 1.0})),
+           "flat": (("MICE", "Isolation Forest", "RobustScaler", "None", {}), ("None", "Winsorization", "StandardScaler", "Savitzky-Golay", {"sg_window": 2, "sg_poly": 3})),
+           "empty": (("KNN Imputation", "IQR", "StandardScaler", "Fourier", {}),)}
+    rows = [(k, f, json.dumps(dict(zip(RE.METHODS, m[:4]))), json.dumps(m[4])) for k, ms in per.items() for f, m in zip(FEATS, ms)]
+    definition = spark.createDataFrame(rows, "k string, feature string, pipeline string, settings string")
+    got = RE.replay(sig, definition)
+    assert got.plan is not None
+    want = _rows(RE.replay(written, definition).df)
+    assert _rows(got.df) == want
+    monkeypatch.setattr(RE, "MAX_DEFINITIONS", 2)  # too many: row by row
+    assert _rows(RE.replay(sig, definition).df) == want
+
+
+def test_joins_inside_blocks_equal_joins(spark):
+    """Repeated and NULL keys pair as in a join of the tables."""
+    from sigsieve.operators import evaluate as EV
+    from sigsieve.sources.sinks import processed_table
+
+    rows = [(1, 5, 1.0), (1, 5, 2.0), (1, 6, None), (1, None, 4.0), (1, 9, 5.0), (2, 5, 1.5), (2, 7, 3.0), (2, 7, 3.5), (2, 7, None), (2, 8, 1.0)]
+    df = spark.createDataFrame(rows, "k long, t long, x double")
+    ways = []
+    for s in (make_signal(df, ["k"], ["t"], ["x"], checkpoint=False).in_blocks(), make_signal(df, ["k"], ["t"], ["x"])):
+        done = X.scale(X.impute(s, "LOCF"), "StandardScaler")
+        if s.plan is not None:
+            pt = processed_table(s, done, ["k", "t"], ["k", "t", "x"])
+            both = B.paired(s, s, ["k", "t"], {"k": ("l", "k"), "t": ("l", "t"), "x": ("l", "x"), "y": ("r", "x")})
+        else:
+            pt = processed_table(s.df.select("k", "t", "x"), done, ["k", "t"])
+            both = s.df.select("k", "t", "x").join(s.df.select("k", "t", F.col("x").alias("y")), ["k", "t"])
+        ways.append([_rows(pt), _rows(both), _rows(EV.ground_truth(s, done, X.clip(s, None, 3.0), ["k", "t"])), _rows(EV.ground_truth(s, done, X.clip(s, None, 3.0), ["k", "pos"]))])
+    assert ways[0] == ways[1] and len(ways[0][0]) == 5 + 1 + 1 + 1 + 9 + 1
