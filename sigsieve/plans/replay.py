@@ -22,11 +22,19 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, fields
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import attach
+from ..operators import blocks as B
 from ..operators import transform as X
+from ..operators.fourier import _kept
+from ..operators.isoforest import _mask_block
+from ..operators.mice import fill_block
+from ..operators.smooth import _fitted
+from ..operators.spectral import _filtered
 from ..signal import Signal
 from .pipeline import DEFAULT, MV_FIRST, OUT_FIRST, Settings, _mv0, _out0, smooth
 
@@ -40,6 +48,10 @@ OWN_SETTINGS = {"KNN Imputation": ("knn_neighbors",), "MICE": ("mice_iter",), "W
                 "Savitzky-Golay": ("sg_window", "sg_poly"), "Butterworth": ("filter_cutoff", "sampling_rate"), "Fourier": ("fourier_keep_ratio",)}
 #: Combinations of methods and settings that are run on their own in one stage.
 MAX_RUNS = 64
+#: Methods that need only statistics of their own channel.
+LIGHT = ("Mean Imputation", "LOCF", "Linear Interpolation", "Z-Score", "IQR", "MAD", *SCALING[1:])
+#: Different definitions that the steps of a plan carry along; with more, the stages run row by row.
+MAX_DEFINITIONS = 4096
 
 
 def read_definition(spark: SparkSession, path: str, keys) -> DataFrame:
@@ -164,12 +176,135 @@ def _median_filled(sig: Signal, per_series: DataFrame) -> Signal:
                                        F.coalesce(F.col(c), X.s("_med", i), F.lit(0.0))).otherwise(F.col(c)) for i, c in enumerate(sig.features)})
 
 
+def _coded(sig: Signal, rows: DataFrame) -> tuple[Signal, tuple] | None:
+    """The plan of sig with the number of every series' definition of channel i beside its rows (``_def{i}``), and the
+    definitions, each a tuple in the order of METHODS and the settings; None where they can't be: too many, or no plan."""
+    if sig.plan is None or sig.plan.labels:
+        return None
+    names = [*METHODS, *asdict(DEFAULT)]
+    found = rows.select(*names).distinct().limit(MAX_DEFINITIONS + 1).collect()
+    if len(found) > MAX_DEFINITIONS:
+        return None
+    defs = tuple(sorted(tuple(r) for r in found))
+    numbers = rows.sparkSession.createDataFrame([(*d, i) for i, d in enumerate(defs)], rows.select(*names).schema.add("_no", "integer"))
+    numbered = rows.join(F.broadcast(numbers), names)
+    per_series = numbered.groupBy(*sig.keys).agg(*[F.max(F.when(F.col("feature") == f, F.col("_no"))).alias(f"_def{i}") for i, f in enumerate(sig.features)])
+    coded = B.attached(sig, per_series)
+    return None if coded is None else (coded, defs)
+
+
+def _smoothed(cells, closed, names, method: str, st: Settings) -> dict:
+    """``pipeline.smooth`` over whole series whose gaps are closed."""
+    if method == "Savitzky-Golay":
+        return _fitted(cells, closed, names, st.sg_window + (st.sg_window % 2 == 0), st.sg_poly)
+    if method == "Butterworth":
+        share = st.filter_cutoff / (0.5 * st.sampling_rate) if st.sampling_rate > 0 else 0.0
+        return _filtered(cells, closed, names, share, 3) if 0 < share < 1 else {}
+    return _kept(cells, closed, names, st.fourier_keep_ratio)
+
+
+def _run(cells, x, names, method: str, values) -> dict:
+    """A method with its own settings over the whole series of a block."""
+    if method == "KNN Imputation":
+        return B.knn(cells, x, names, values["knn_neighbors"])
+    if method == "MICE":
+        return fill_block(cells, x, names, values["mice_iter"])
+    if method == "Winsorization":
+        return B.winsor(cells, x, names, values["winsor_q"])
+    if method == "Isolation Forest":
+        return _mask_block(cells, x, names, values["if_contamination"], 100, 256, B.HASH_SEED)
+    st = Settings(**values)
+    if method == "Savitzky-Golay" and st.sg_window + (st.sg_window % 2 == 0) <= st.sg_poly:
+        return {}  # not smoothed, and its gaps stay
+    closed = x.but(B.close(cells, x, names))
+    return {**{f: closed[f] for f in names}, **_smoothed(cells, closed, names, method, st)}
+
+
+def _block_stage(cells, x, feats, stage: str, defs) -> dict:
+    """One stage of ``replay`` (a step of ``operators.blocks``): every channel of every series by its own definition."""
+    names = [*METHODS, *asdict(DEFAULT)]
+    at = {n: k for k, n in enumerate(names)}
+
+    def method_of(d):
+        if stage == "first":
+            return d[at["missing_method"]] if d[at["operation_order"]] == MV_FIRST else "None"
+        if stage == "again":
+            return "Linear Interpolation" if d[at["missing_method"]] == "None" else d[at["missing_method"]]
+        return d[at[stage]]
+
+    numbers = [[-1 if v is None else v for v in B.of_series(cells, f"_def{i}")] for i in range(len(feats))]
+    numbers = [np.array(v, dtype=np.int64) for v in numbers]
+    used = sorted({v for n in numbers for v in n.tolist()} - {-1})
+    out = dict.fromkeys(feats)
+    for i, f in enumerate(feats):
+        y = x[f]
+        per = lambda name, kind=float: np.array([defs[v][at[name]] if v >= 0 else 0 for v in numbers[i]], dtype=kind)  # noqa: B023,E731
+        for m in sorted({method_of(defs[v]) for v in used} - {"None"}):
+            asks = np.array([v >= 0 and method_of(defs[v]) == m for v in numbers[i]], dtype=bool)
+            if not asks.any() or m not in LIGHT:
+                continue
+            if stage in ("first", "again"):
+                new = B.fill(cells, x, (f,), m, "v2").get(f, x[f])
+            elif stage == "outlier_method":
+                new = np.where(B.odd(cells, x[f], m, per("z_thresh"), per("iqr_factor"), per("mad_thresh"), "v2"), np.nan, x[f])
+            else:
+                new = B.scaled(cells, x[f], m)
+            y = np.where(asks[cells.g], new, y)
+        out[f] = y
+    runs = {}
+    for v in used:
+        m = method_of(defs[v])
+        if m != "None" and m not in LIGHT:
+            runs.setdefault((m, tuple(defs[v][at[k]] for k in OWN_SETTINGS[m])), set()).add(v)
+    for (m, values), of in sorted(runs.items(), key=repr):
+        asks = [np.isin(n, list(of)) for n in numbers]
+        some = np.any(asks, axis=0)
+        if not some.any():
+            continue
+        rows = some[cells.g]
+        part = B.Cells(cells.t.filter(pa.array(rows)), cells.names.items())
+        px = B.Channels(part.t, part.names, {f: x[f][rows] for f in feats})
+        done = _run(part, px, feats, m, {**asdict(DEFAULT), **dict(zip(OWN_SETTINGS[m], values))})
+        for i, f in enumerate(feats):
+            if f in done:
+                mine = asks[i][cells.g]
+                y = out[f].copy()
+                y[mine] = done[f][mine[rows]]
+                out[f] = y
+    return out
+
+
+def _block_middle(cells, x, feats, defs) -> dict:
+    """``_median_filled`` as a step: the channels that will be scaled."""
+    at = list(METHODS).index("normalization_method")
+    new, out = B.fill_middle(cells, x, feats, "v2"), {}
+    for i, f in enumerate(feats):
+        if f in new:
+            asks = np.array([v is not None and defs[v][at] != "None" for v in B.of_series(cells, f"_def{i}")], dtype=bool)
+            out[f] = np.where(asks[cells.g], new[f], x[f])
+    return out
+
+
+def _on_blocks(sig: Signal, defs) -> Signal:
+    heavy = any({"KNN Imputation", "MICE", "Isolation Forest"} & set(d[:len(METHODS)]) for d in defs)
+    cur = sig
+    for stage in ("first", "outlier_method", "again"):
+        cur = B.then(cur, _block_stage, stage, defs, heavy=heavy)
+    if any(d[list(METHODS).index("normalization_method")] != "None" for d in defs):
+        cur = B.then(B.then(cur, _block_middle, defs), _block_stage, "normalization_method", defs)
+    return B.then(cur, _block_stage, "smoothing_method", defs)
+
+
 def replay(sig: Signal, definition: DataFrame) -> Signal:
     """Run the definition on the signal.  Series and features without a definition stay as they are; an unknown method or
     feature and a repeated definition are errors."""
     keys, feats = list(sig.keys), list(sig.features)
     rows = parsed(definition, keys).persist()
     _checked(rows, keys, feats)
+    coded = _coded(sig, rows)
+    if coded is not None:
+        return _on_blocks(*coded)
+    sig = sig.with_df(sig.df)  # row by row from here
     per_series = _by_series(rows, keys, feats)
     first = f"if({{}}operation_order = '{MV_FIRST}', {{}}missing_method, 'None')"
     again = "if({}missing_method = 'None', 'Linear Interpolation', {}missing_method)"
