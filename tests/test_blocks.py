@@ -179,3 +179,14 @@ def test_joins_inside_blocks_equal_joins(spark):
             both = s.df.select("k", "t", "x").join(s.df.select("k", "t", F.col("x").alias("y")), ["k", "t"])
         ways.append([_rows(pt), _rows(both), _rows(EV.ground_truth(s, done, X.clip(s, None, 3.0), ["k", "t"])), _rows(EV.ground_truth(s, done, X.clip(s, None, 3.0), ["k", "pos"]))])
     assert ways[0] == ways[1] and len(ways[0][0]) == 5 + 1 + 1 + 1 + 9 + 1
+
+
+def test_ridge_rows_are_not_written(spark, sig, monkeypatch):
+    """Rows that are quick to read again aren't written for ridge; the scores are those of written rows."""
+    from sigsieve.operators import validate as VA
+
+    rows = sig.df.where("k in ('a', 'b')").select("k", "t", *FEATS)
+    want = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "z"], "Gaze_Y", ["Ridge"])
+    monkeypatch.setattr(VA, "materialize", lambda df: pytest.fail("rows written"))
+    got = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "z"], "Gaze_Y", ["Ridge"], cheap=True)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
