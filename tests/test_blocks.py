@@ -190,3 +190,15 @@ def test_ridge_rows_are_not_written(spark, sig, monkeypatch):
     monkeypatch.setattr(VA, "materialize", lambda df: pytest.fail("rows written"))
     got = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "z"], "Gaze_Y", ["Ridge"], cheap=True)
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_rows_for_fits_are_written_once(spark, sig, monkeypatch):
+    """One write a table for the forest's fits: the vectors, folds and targets."""
+    from sigsieve.operators import validate as VA
+
+    rows = sig.df.where("k in ('a', 'b')").select("k", "t", *FEATS)
+    written, plain = [], VA.materialize
+    monkeypatch.setattr(VA, "materialize", lambda df: written.append(df.columns) or plain(df))
+    monkeypatch.setattr(VA, "forest_r2", lambda df, features, target, k: [float(VA._for_model(df, features, target).count())] * k)
+    got = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "z"], "z", ["RandomForestReg"], cheap=True)
+    assert written == [["features", "fold", "y"]] * 2 and [r[3] for r in got] == [490.0, 490.0]
