@@ -200,5 +200,5 @@ def test_rows_for_fits_are_written_once(spark, sig, monkeypatch):
     written, plain = [], VA.materialize
     monkeypatch.setattr(VA, "materialize", lambda df: written.append(df.columns) or plain(df))
     monkeypatch.setattr(VA, "forest_r2", lambda df, features, target, k: [float(VA._for_model(df, features, target).count())] * k)
-    got = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "z"], "z", ["RandomForestReg"], cheap=True)
+    got = VA.regression_check(rows, rows, ["k", "t"], ["Gaze_X", "Gaze_Y"], "z", ["RandomForestReg"], cheap=True)
     assert written == [["features", "fold", "y"]] * 2 and [r[3] for r in got] == [490.0, 490.0]
